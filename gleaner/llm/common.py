@@ -28,8 +28,24 @@ def cut(df: DataFrame) -> DataFrame:
 
 def words(text):
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text column as an array; null has none."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\f\r", "     ")
-    return F.filter(F.split(spaced, " "), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE, -1), "")
+
+
+def rolling(items, k: int):
+    """64-bit hashes of the runs of ``k`` (a power of two, or 3) elements of an array of longs; shorter arrays have none."""
+    size = F.size(items)
+    if k == 1:
+        return items
+    if k == 3:
+        return _paired(rolling(items, 2), items, 2)
+    half = rolling(items, k // 2)
+    return F.when(size >= k, _paired(half, half, k // 2)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _paired(left, right, step: int):
+    """Hash of each element of ``left`` with the one ``step`` further on in ``right``."""
+    later = F.slice(right, step + 1, F.greatest(F.size(right) - step, F.lit(0)))
+    return F.zip_with(F.slice(left, 1, F.size(later)), later, lambda a, b: F.xxhash64(a, b))
 
 
 def word_count(text):

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import table
 from gleaner.llm.license_scan import license_scan
+from gleaner.llm.mixing import mix_sizes
 from gleaner.llm.quality_rules import quality_rules
 from gleaner.llm.simhash import simhash_groups
+from gleaner.llm.url_filter import url_filter
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,10 +22,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sizes(table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_quality_rules, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_quality_rules, op6_source_mixing, op9_url_filter, op10_license_scan)}
 
 ORACLES: dict[str, str] = {}

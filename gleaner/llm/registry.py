@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import table
+from gleaner.llm.embedding_dedup import embedding_groups
 from gleaner.llm.license_scan import license_scan
 from gleaner.llm.mixing import mix_sizes
 from gleaner.llm.quality_rules import quality_rules
@@ -22,6 +23,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_quality_rules, op6_source_mixing, op9_url_filter, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_quality_rules, op4_embedding_near_dedup, op6_source_mixing, op9_url_filter, op10_license_scan)}
 
 ORACLES: dict[str, str] = {}

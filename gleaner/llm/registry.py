@@ -9,11 +9,16 @@ from gleaner.llm.common import table
 from gleaner.llm.embedding_dedup import embedding_groups
 from gleaner.llm.license_scan import license_scan
 from gleaner.llm.mixing import mix_sizes
+from gleaner.llm.quality_classifier import quality_scores
 from gleaner.llm.quality_rules import quality_rules
 from gleaner.llm.simhash import simhash_groups
 from gleaner.llm.url_filter import url_filter
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -39,6 +44,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_quality_rules, op4_embedding_near_dedup, op6_source_mixing, op9_url_filter, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_quality_rules, op4_embedding_near_dedup, op6_source_mixing, op9_url_filter, op10_license_scan)}
 
 ORACLES: dict[str, str] = {}

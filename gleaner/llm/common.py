@@ -31,21 +31,25 @@ def words(text):
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE, -1), "")
 
 
-def rolling(items, k: int):
-    """64-bit hashes of the runs of ``k`` (a power of two, or 3) elements of an array of longs; shorter arrays have none."""
-    size = F.size(items)
-    if k == 1:
-        return items
+def with_runs(df: DataFrame, name: str, k: int) -> DataFrame:
+    """``df`` with the array of longs ``name`` replaced by the 64-bit hashes of its runs of ``k`` elements (a power of two, or 3).
+
+    Shorter arrays have none. Each step is a projection of its own: nested in one expression, Spark would compute the
+    arrays of a step anew wherever the next one reads them.
+    """
     if k == 3:
-        return _paired(rolling(items, 2), items, 2)
-    half = rolling(items, k // 2)
-    return F.when(size >= k, _paired(half, half, k // 2)).otherwise(F.array().cast("array<bigint>"))
+        both = df.withColumn("_pairs", _paired(F.col(name), F.col(name), 1))
+        return both.withColumn(name, _paired(F.col("_pairs"), F.col(name), 2)).drop("_pairs")
+    step = 1
+    while step < k:
+        df = df.withColumn(name, _paired(F.col(name), F.col(name), step))
+        step *= 2
+    return df
 
 
 def _paired(left, right, step: int):
     """Hash of each element of ``left`` with the one ``step`` further on in ``right``."""
-    later = F.slice(right, step + 1, F.greatest(F.size(right) - step, F.lit(0)))
-    return F.zip_with(F.slice(left, 1, F.size(later)), later, lambda a, b: F.xxhash64(a, b))
+    return F.filter(F.zip_with(left, F.slice(right, step + 1, F.size(right)), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b))), lambda x: x.isNotNull())
 
 
 def word_count(text):

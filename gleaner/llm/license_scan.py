@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut, rolling
+from gleaner.llm.common import cut, with_runs
 
 #: The phrases of the base rule and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -49,8 +49,8 @@ def template_runs(spark: SparkSession, templates: list[tuple[str, str]], run: in
     """Rows (template, label, n_template, place, run): every run of words of every template; a few hundred rows, fixed by the parameter."""
     rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "template int, label string, text string")
     rows = rows.withColumn("words", F.split("text", " "))
-    hashes = rolling(F.transform("words", lambda w: F.xxhash64(w)), run)
-    return rows.select("template", "label", F.size("words").alias("n_template"), F.posexplode(hashes).alias("place", "run"))
+    rows = with_runs(rows.withColumn("runs", F.transform("words", lambda w: F.xxhash64(w))), "runs", run)
+    return rows.select("template", "label", F.size("words").alias("n_template"), F.posexplode("runs").alias("place", "run"))
 
 
 def spaces(text):
@@ -109,7 +109,8 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ph
     known = [r.run for r in grams.select("run").distinct().collect()]  # fixed by the templates
     texts = docs.select(F.col(doc_id).alias("doc_id"), word_text(F.col(text)).alias("words"))
     split = texts.select("doc_id", F.concat(F.lit(" "), "words", F.lit(" ")).alias("padded"), F.when(F.col("words") != "", F.split("words", " ")).otherwise(F.array().cast("array<string>")).alias("words"))
-    hashed = split.select("doc_id", "padded", F.size("words").cast("long").alias("n_words"), rolling(F.transform("words", lambda w: F.xxhash64(w)), RUN).alias("runs"))
+    hashed = split.select("doc_id", "padded", F.size("words").cast("long").alias("n_words"), F.transform("words", lambda w: F.xxhash64(w)).alias("runs"))
+    hashed = with_runs(hashed, "runs", RUN)
     found = hashed.select(
         "doc_id",
         "n_words",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import SPACE, cut, rolling, words
+from gleaner.llm.common import cut, with_runs, words
 
 #: name: (lower quantile, middle, upper quantile, times the quantiles' distance from the middle, least distance)
 MEASURES = {
@@ -47,11 +47,8 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"),
     )
-    windows = hashed.select(
-        *[c for c in hashed.columns if c != "_hashes"],
-        rolling(F.col("_hashes"), 8).alias("_windows"),
-        F.size(F.array_compact(F.zip_with("_hashes", F.slice("_hashes", 2, F.size("_hashes")), lambda a, b: F.when(a == b, True)))).alias("_stutters"),
-    )
+    equal_next = F.zip_with("_hashes", F.slice("_hashes", 2, F.size("_hashes")), lambda a, b: F.when(a == b, True))
+    windows = with_runs(hashed.withColumns({"_stutters": F.size(F.array_compact(equal_next)), "_windows": F.col("_hashes")}).drop("_hashes"), "_windows", 8)
     sorted_windows = F.sort_array(F.transform("_windows", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
     marked = windows.withColumn("_sorted", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), sorted_windows)).drop("_windows")
     n = F.size("_sorted")

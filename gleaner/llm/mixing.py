@@ -176,7 +176,7 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     _, mix = mixture(sized, weights, repeats)
     takes = mix.groupBy("row", "round").agg(F.min("start").alias("_start"), F.sum("n").alias("_n"))
-    takes = sized.select("row", F.col("_id").alias("_id2"), F.col("_digest").alias("_digest2"), F.col("size").alias("_size")).join(takes, "row")
+    takes = sized.select("row", F.col("_id").alias("_id2"), F.col("_digest").alias("_digest2"), F.col("size").alias("_size")).join(takes, "row").drop("row")
     joined = single.join(takes, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_digest") == F.col("_digest2")))
     part = word_range(F.when(F.col("_n") < F.col("_size"), F.col(text)), "_start", "_n")
     out = joined.withColumn(text, F.coalesce(part, F.col(text)))

@@ -9,6 +9,7 @@ from gleaner.llm.common import table
 from gleaner.llm.embedding_dedup import embedding_groups
 from gleaner.llm.license_scan import license_scan
 from gleaner.llm.mixing import mix_sizes
+from gleaner.llm.pii import pii_report
 from gleaner.llm.quality_classifier import quality_scores
 from gleaner.llm.quality_rules import quality_rules
 from gleaner.llm.simhash import simhash_groups
@@ -36,6 +37,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
@@ -44,6 +49,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_quality_rules, op4_embedding_near_dedup, op6_source_mixing, op9_url_filter, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_quality_rules, op4_embedding_near_dedup, op6_source_mixing, op7_pii, op9_url_filter, op10_license_scan)}
 
 ORACLES: dict[str, str] = {}

@@ -63,7 +63,7 @@ def test_empty(spark):
 def test_documents_hold_the_words_taken(spark):
     rnd = random.Random(8)
     rows = [(i, "  ".join(f"w{j}" for j in range(rnd.choice([0, 3, 50, 300]))), rnd.choice("aaaaab"), 1) for i in range(200)]
-    docs = spark.createDataFrame(rows, SCHEMA).withColumn("n_chars", F.length("text"))
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"n_chars": F.length("text"), "row": F.lit("a"), "size": F.lit("b")})
     taken = {r.doc_id: r.taken for r in mix_sizes(docs).collect()}
     mixed, words = mixed_documents(docs), defaultdict(int)
     assert mixed.columns == docs.columns

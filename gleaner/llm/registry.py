@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.llm.chat import DIGEST_SQL, chat_digests, control_conversation, format_chats
 from gleaner.llm.common import table
 from gleaner.llm.embedding_dedup import embedding_groups
 from gleaner.llm.license_scan import license_scan
@@ -41,6 +42,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_digests(format_chats(turns.unionByName(control_conversation(spark))))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
@@ -49,6 +55,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_quality_rules, op4_embedding_near_dedup, op6_source_mixing, op7_pii, op9_url_filter, op10_license_scan)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_quality_rules, op4_embedding_near_dedup, op6_source_mixing, op7_pii, op8_chat_formatting, op9_url_filter, op10_license_scan)}
+
+#: All pairs: for the small tables only.
+EMBEDDING_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reached AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), named AS (SELECT vec_id, least(vec_id, coalesce(min(b), vec_id)) AS component_id FROM embeddings LEFT JOIN reached ON a = vec_id GROUP BY vec_id),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM named LEFT JOIN counted ON a = vec_id
+"""
+
+ORACLES: dict[str, str] = {"op4_embedding_near_dedup": EMBEDDING_SQL, "op8_chat_formatting": DIGEST_SQL}

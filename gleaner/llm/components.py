@@ -34,16 +34,26 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    larger = both.where(F.col("v") > F.col("u")).join(least, "u")
-    return larger.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    """Each node's larger neighbours are linked to the smallest of its neighbours and itself."""
+    both = edges.select(F.col("v").alias("node"), F.col("u").alias("other")).unionByName(edges.select(F.col("u").alias("node"), F.col("v").alias("other")))
+    least = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("m"))
+    return _joined(edges, "v", least).select("u", F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    inner = edges.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return inner.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    """Each node and its smaller neighbours are linked to the smallest of them."""
+    least = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
+    inner = _joined(edges, "u", least).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return inner.unionByName(least.select(F.col("node").alias("u"), F.col("m").alias("v"))).distinct()
+
+
+def _joined(edges: DataFrame, end: str, least: DataFrame) -> DataFrame:
+    """``edges`` with m of the node at ``end``.
+
+    The key is the node's complement: so neither side comes partitioned by it, both are shuffled for the join alone,
+    and the adaptive skew join can split the rows of a hub.
+    """
+    return edges.withColumn("key", F.bitwise_not(F.col(end))).join(least.select(F.bitwise_not("node").alias("key"), "m"), "key")
 
 
 def _state(edges: DataFrame) -> tuple:

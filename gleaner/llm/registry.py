@@ -13,6 +13,7 @@ from gleaner.llm.mixing import mix_sizes
 from gleaner.llm.pii import pii_report
 from gleaner.llm.quality_classifier import quality_scores
 from gleaner.llm.quality_rules import quality_rules
+from gleaner.llm.sentencepiece_nbest import decoded, encode_texts
 from gleaner.llm.simhash import simhash_groups
 from gleaner.llm.url_filter import url_filter
 
@@ -34,6 +35,13 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encoded documents; round_trip tells that a document's ids decode to its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "text")
+    encoded = encode_texts(docs)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "score", "ids", "nbest", (F.sha2(decoded(spark), 256) == F.col("digest")).alias("round_trip"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(table(spark, sf_dir, "documents"))
 
@@ -55,7 +63,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_quality_rules, op4_embedding_near_dedup, op6_source_mixing, op7_pii, op8_chat_formatting, op9_url_filter, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_quality_rules, op4_embedding_near_dedup, op5_sentencepiece, op6_source_mixing, op7_pii, op8_chat_formatting, op9_url_filter, op10_license_scan)}
 
 #: All pairs: for the small tables only.
 EMBEDDING_SQL = """

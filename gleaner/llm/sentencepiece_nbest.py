@@ -326,7 +326,8 @@ def encode_texts(docs: DataFrame, text: str = "text", model: str = MODEL, n_best
                 yield pa.RecordBatch.from_arrays([*(kept.column(i) for i in range(len(others))), ids, pa.array([d[1] for d in done]), nbest], [*others, "ids", "score", "nbest"])
                 at = end
 
-    return docs.select(*[F.col(f"`{c}`") for c in others], F.col(text)).mapInArrow(run, schema)
+    plain = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]  # mapInArrow can't take names with dots
+    return docs.select(*plain, F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def edited(ids: list[int], edits: list[tuple[int, int, list[int]]]) -> list[int]:

@@ -116,7 +116,8 @@ def fit(rows: DataFrame, pooled: float = POOLED, identity: float = IDENTITY) ->
         return None
     total = sum(n for n, _, _ in sums.values())
     middle = sum(s for _, s, _ in sums.values()) / total
-    scale = np.sqrt(np.maximum(np.diag(sum(q for _, _, q in sums.values())) / total - middle**2, 1e-12))
+    spread = np.diag(sum(q for _, _, q in sums.values())) / total - middle**2
+    scale = np.sqrt(np.where(spread > 1e-9 * (1 + middle**2), spread, 1.0))  # a constant statistic's is rounding error
     means, spreads = [], []
     for k in (0, 1):
         n, s, q = sums[k]
@@ -134,6 +135,20 @@ def fit(rows: DataFrame, pooled: float = POOLED, identity: float = IDENTITY) ->
     return QuadraticModel(middle, scale, means, factors, weights)
 
 
+def learned(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> tuple[DataFrame, QuadraticModel | None, float]:
+    """The rows (doc_id, statistics, held_out) of ``docs``, the model, and the score for want of one."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), statistics_of(F.col(text)).alias("statistics"))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    rows = cut(rows.withColumn("held_out", held))
+    known = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("label")).where(F.col("label").isin(0, 1))
+    known = known.groupBy("_id").agg(F.avg("label").alias("label")).where("label != 0.5").withColumn("label", F.round("label").cast("int"))
+    training = rows.where(~F.col("held_out")).join(known, F.col("doc_id") == F.col("_id")).select("label", "statistics")
+    model, share = fit(training), None
+    if model is None:
+        share = training.agg(F.avg("label")).first()[0]
+    return rows, model, 0.5 if share is None else float(share)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, score, predicted.
 
@@ -143,21 +158,22 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     of good labels (0.5 without any); repeated rows are scored one by one; other columns are not read; an empty table
     gives no rows.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), statistics_of(F.col(text)).alias("statistics"))
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    rows = cut(rows.withColumn("held_out", held))
-    known = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("label")).where(F.col("label").isin(0, 1))
-    known = known.groupBy("_id").agg(F.avg("label").alias("label")).where("label != 0.5").withColumn("label", F.round("label").cast("int"))
-    training = rows.where(~F.col("held_out")).join(known, F.col("doc_id") == F.col("_id")).select("label", "statistics")
-    model = fit(training)
-    if model is None:
-        share = training.agg(F.avg("label")).first()[0]
-        scored = rows.withColumn("score", F.lit(0.5 if share is None else float(share)))
-    else:
+    rows, model, share = learned(docs, labels, doc_id, text, label)
 
-        @F.pandas_udf(T.DoubleType())
-        def score(x: pd.Series) -> pd.Series:
-            return pd.Series(model.score(np.stack(x.to_numpy())) if len(x) else np.zeros(0))
+    @F.pandas_udf(T.DoubleType())
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.stack(x.to_numpy())) if len(x) else np.zeros(0))
 
-        scored = rows.withColumn("score", score("statistics"))
+    scored = rows.withColumn("score", score("statistics") if model else F.lit(share))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that ``quality_scores`` predicts good, with their columns; the texts do not move."""
+    _, model, share = learned(docs, labels, doc_id, text, label)
+
+    @F.pandas_udf(T.DoubleType())
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([statistics(t) for t in texts])) if len(texts) else np.zeros(0))
+
+    return docs.where((score(text) if model else F.lit(share)) >= threshold)

@@ -269,3 +269,13 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rooted = reps.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose doc_id names their group, one for each group, with their columns.
+
+    Rows without a doc_id take part in the groups and are left out, since nothing later could name them.
+    """
+    groups = simhash_groups(docs, doc_id, text, **options)
+    names = groups.where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    return docs.join(names, doc_id, "left_semi").dropDuplicates([doc_id])

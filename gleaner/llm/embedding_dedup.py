@@ -23,7 +23,7 @@ COSINE, WINDOW, BITS, SEED = 0.93, 48, 40, 42
 #: Share of lone pairs at the threshold that all passes together may miss, by which their number is set.
 MISS, MOST_PASSES = 0.002, 64
 #: Rows of a block of a large component: SMALL_BLOCK to LARGE_BLOCK, at most BLOCKS blocks while that allows.
-SMALL_BLOCK, LARGE_BLOCK, BLOCKS = 64, 16384, 64
+SMALL_BLOCK, LARGE_BLOCK, BLOCKS = 32, 16384, 64
 
 
 def passes_for(n: int, cosine: float = COSINE, window: int = WINDOW) -> int:

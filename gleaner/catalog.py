@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from gleaner.queries import analytics, postings
+
+MODULES = (analytics, postings)
+
+QUERIES = {name: f for module in MODULES for name, f in module.QUERIES.items()}
+ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

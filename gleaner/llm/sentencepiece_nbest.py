@@ -17,6 +17,7 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ SPACE = "▁"
 #: A score below this marks a placeholder of the vocabulary (runs of blanks); such a piece and an unknown character cost PENALTY more than the worst piece.
 PLACEHOLDER, PENALTY = -1e8, 10.0
 #: Characters of texts that are segmented together, and of units that are searched together.
-CHUNK, LONG = 4_000_000, 64
+CHUNK, LONG = 1_000_000, 64
 
 ENCODED = "ids array<int>, score double, nbest array<struct<score: double, edits: array<struct<at: int, n: int, ids: array<int>>>>>"
 
@@ -173,7 +174,7 @@ class Segmenter:
             for start, ids, cost in before[end]:
                 order += 1
                 heapq.heappush(heap, (-(ahead[start] + cost + behind), order, start, behind + cost, ids + path))
-        if len(unit) <= LONG and len(self.found) < 200_000:
+        if len(unit) <= LONG and len(self.found) < 20_000:
             self.found[unit] = out
         return out
 
@@ -311,14 +312,12 @@ def encode_texts(docs: DataFrame, text: str = "text", model: str = MODEL, n_best
     def run(batches):
         segmenter = Segmenter(model.value, n_best)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
-                    size += len(texts[end])
-                    end += 1
-                done = segmenter.segment(texts[at:end])
+            column = batch.column(batch.num_columns - 1)
+            sizes = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)
+            total, at = np.cumsum(sizes), 0
+            while at < len(batch):
+                end = max(at + 1, int(np.searchsorted(total, total[at] - sizes[at] + CHUNK, "right")))
+                done = segmenter.segment([t or "" for t in column.slice(at, end - at).to_pylist()])
                 offsets = np.concatenate(([0], np.cumsum([len(d[0]) for d in done]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.asarray(d[0], np.int32) for d in done])))
                 nbest = pa.array([[{"score": s, "edits": [{"at": a, "n": n, "ids": i} for a, n, i in edits]} for s, edits in d[2]] for d in done], best)

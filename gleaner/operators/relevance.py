@@ -111,7 +111,7 @@ def learned_estimates(scored: DataFrame, pending: DataFrame, user: str = "user_i
     newest = scored.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= most)
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({user: pd.Series(dtype="int64"), "weights": [], "mean": [], "bias": [], "n": []})
+        empty = pd.DataFrame({c: pd.Series(dtype=object if c in ("weights", "mean") else rows[user].dtype if c == user else float) for c in (user, "weights", "mean", "bias", "n")})
         if len(rows) < least:
             return empty
         x = np.stack(rows["vector"].to_numpy()).astype(np.float64)

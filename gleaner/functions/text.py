@@ -153,14 +153,16 @@ STOP_WORDS = frozenset(
     across including include includes us team teams work working role roles job jobs company candidate candidates experience years year ability strong
     excellent good great new looking join help using use used well like make build building""".split()
 )
+_WORD = re.compile(r"(?:[^\W_]|[+#])+")
 _PHRASE = re.compile("|".join(map(re.escape, sorted(PHRASES, key=len, reverse=True))))
 
 
 def token_list(text: str | None) -> list[str]:
     """Words for relevance: phrases become one term in one pass, stop words and single bytes go except the languages r and c."""
     joined = _PHRASE.sub(lambda m: f" {PHRASES[m.group()]} ", (text or "").lower())
-    spaced = "".join(c if c.isalpha() or c.isdecimal() or c in "+#" else " " for c in joined)
-    words = (w.strip("+#") for w in spaced.split())
+    if not joined.isascii():  # other numerals than digits part words
+        joined = "".join(" " if c.isnumeric() and not c.isdecimal() and not c.isalpha() else c for c in joined)
+    words = (w.strip("+#") for w in _WORD.findall(joined))
     return [w for w in words if w not in STOP_WORDS and (len(w.encode()) >= 2 or w in ("r", "c"))]
 
 

@@ -180,8 +180,9 @@ def profile_terms(t: Tables) -> DataFrame:
 
 @query()
 def tfidf_cosine(t: Tables) -> DataFrame:
-    docs = candidate_tokens(t)
-    return R.similarities(R.term_counts(docs, ["doc_id"], None, "tokens"), profile_terms(t), docs)
+    """The term counts are read twice, for the document frequencies and for the weights: kept, so that Python runs once."""
+    counts = R.term_counts(candidate_tokens(t), ["doc_id"], None, "tokens").persist()
+    return R.similarities(counts, profile_terms(t), t.raw("documents").select("doc_id"))
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir``; only in local mode, and only where that is unset, a temporary
+    one is made. On a cluster a machine's own folder would be of no use to the others, so that is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gleaner-checkpoint-"))
     return df.checkpoint(eager=True)
 
 

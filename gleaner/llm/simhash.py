@@ -267,7 +267,9 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = fingerprint_links(reps, distance, blocks, dense)
     roots = connected_components(links).select(F.col("node").alias("fp"), "root")
     rooted = reps.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
+    names = rooted.groupBy("root").agg(F.min("first").alias("component_id")).select(F.bitwise_not("root").alias("key"), "component_id")
+    # the complement as key: both sides are shuffled for this join alone, so that a large group can be split
+    named = rooted.withColumn("key", F.bitwise_not("root")).join(names, "key").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -159,7 +159,9 @@ _PHRASE = re.compile("|".join(map(re.escape, sorted(PHRASES, key=len, reverse=Tr
 
 def token_list(text: str | None) -> list[str]:
     """Words for relevance: phrases become one term in one pass, stop words and single bytes go except the languages r and c."""
-    joined = _PHRASE.sub(lambda m: f" {PHRASES[m.group()]} ", (text or "").lower())
+    joined = (text or "").lower()
+    if any(p in joined for p in PHRASES):
+        joined = _PHRASE.sub(lambda m: f" {PHRASES[m.group()]} ", joined)
     if not joined.isascii():  # other numerals than digits part words
         joined = "".join(" " if c.isnumeric() and not c.isdecimal() and not c.isalpha() else c for c in joined)
     words = (w.strip("+#") for w in _WORD.findall(joined))

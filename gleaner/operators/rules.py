@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import evidence_sentence, tag
+from gleaner.functions.text import evidence_sentence, tag, trimmed
 
 
 @dataclass
@@ -128,12 +128,17 @@ def facts_reason(facts: dict[str, Column], prefs: Preferences) -> Column:
     return F.coalesce(*steps) if steps else F.lit(None).cast("string")
 
 
-def moderation_reason(title: Column, body: Column, least: int = 20, most: int = 10_000, links: int = 5) -> Column:
-    """Why a post is refused: title of 8 to 140 characters, body in bounds, few links, no long run of one character."""
-    n, m = F.length(F.trim(title)), F.length(F.trim(body))
+#: Least and most characters of a body, most links.
+LIMITS = {"post": (200, 20_000, 5), "comment": (2, 2000, 2)}
+
+
+def moderation_reason(title: Column, body: Column, kind: str = "post") -> Column:
+    """Why a post or comment is refused: title of 8 to 140 characters (posts), body in bounds, few links, no long run of one character."""
+    least, most, links = LIMITS[kind]
+    n, m = F.length(trimmed(F.coalesce(title, F.lit("")))), F.length(trimmed(body))
     return (
-        F.when(~n.between(8, 140), "title_length")
+        F.when(F.lit(kind == "post") & ~n.between(8, 140), "title_length")
         .when(~m.between(least, most), "body_length")
         .when(F.regexp_count(F.lower(body), F.lit("https?://")) > links, "links")
-        .when(body.rlike(r"([^ \t\n\-=_.*#])\1{14,}"), "long_run")
+        .when(F.concat(F.coalesce(title, F.lit("")), body).rlike(r"([^ \t\n\-=_.*#])\1{14,}"), "long_run")
     )

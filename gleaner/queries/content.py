@@ -163,7 +163,8 @@ def post_facts_exclusion(t: Tables) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, CASE WHEN length(trim(left(text, 150))) NOT BETWEEN 8 AND 140 THEN 'title_length' WHEN length(trim(text)) NOT BETWEEN 20 AND 10000 THEN 'body_length' END AS reason FROM documents""", with_tables=False)
+SELECT doc_id, CASE WHEN length(trim(left(text, 150))) NOT BETWEEN 8 AND 140 THEN 'title_length' WHEN length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) NOT BETWEEN 200 AND 20000 THEN 'body_length'
+  WHEN len(regexp_extract_all(lower(text), 'https?://')) > 5 THEN 'links' END AS reason FROM documents""", with_tables=False)
 def moderation_rules(t: Tables) -> DataFrame:
     text = F.col("text")
     return t.raw("documents").select("doc_id", rules.moderation_reason(F.left(text, F.lit(150)), text).alias("reason"))

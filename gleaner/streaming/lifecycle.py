@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -61,3 +64,29 @@ def sliding_count(events: DataFrame, length: str = "24 hours", step: str = "1 ho
     """Events of each user in every window of ``length`` that ends on a ``step``."""
     watched = events.withWatermark("ts", delay)
     return watched.groupBy("user_id", F.window("ts", length, step).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.end").alias("until"), "n")
+
+
+def settled(counts: DataFrame) -> DataFrame:
+    """What a streaming aggregation gives once its input is used up, kept in the shared checkpoint folder.
+
+    The groups are written after each batch, whole; those of the last batch are the result.
+    """
+    spark = counts.sparkSession
+    folder = shared_folder(spark) + f"/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out")
+
+    live = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    live.start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{folder}/out")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset and everything runs in one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="gleaner-stream-")

@@ -54,7 +54,12 @@ def test_facts_ladder(spark):
     assert [r.x for r in df.select(facts_reason(facts, ENTRY).alias("x")).collect()] == ["llm:sponsorship_no", "llm:years>3", "llm:non_us", "llm:senior", None]
 
 
-@pytest.mark.parametrize("title, body, reason", [("short", "b" * 30, "title_length"), ("a good title", "x", "body_length"), ("a good title", "http://a " * 6 + "words here", "links"), ("a good title", "ab" * 10 + "!" * 15, "long_run"), ("a good title", "ab" * 10 + "-" * 40, None)])
+@pytest.mark.parametrize("title, body, reason", [("short", "b" * 30, "title_length"), ("a good title", "x" * 9 + " " * 300, "body_length"), ("a good title", "http://a " * 6 + "words " * 40, "links"), ("a good title", "ab" * 100 + "!" * 15, "long_run"), ("a good title" + "!" * 9, "!" * 9 + "ab" * 100, "long_run"), ("a good title", "ab" * 100 + "-" * 40, None)])
 def test_moderation(spark, title, body, reason):
     row = spark.createDataFrame([(title, body)], "t string, b string").select(moderation_reason(F.col("t"), F.col("b")).alias("r")).first()
     assert row.r == reason
+
+
+def test_moderation_of_comments(spark):
+    rows = spark.createDataFrame([("ok",), ("x",), ("http://a http://b http://c",)], "b string").select(moderation_reason(F.lit(None).cast("string"), F.col("b"), "comment").alias("r")).collect()
+    assert [r.r for r in rows] == [None, "body_length", "links"]

@@ -9,7 +9,7 @@ from gleaner.llm.mixing import mixed_documents
 from gleaner.llm.pii import masked_documents
 from gleaner.llm.quality_classifier import good_documents
 from gleaner.llm.sentencepiece_nbest import encode_texts
-from gleaner.llm.simhash import one_of_each_group
+from gleaner.llm.shingle_dedup import one_of_each_shingle_group
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return one_of_each_group(docs)
+    """Of each group of near-duplicates (5-word shingles, Jaccard 0.8) one document stays, that with the smallest doc_id."""
+    return one_of_each_shingle_group(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

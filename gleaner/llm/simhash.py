@@ -31,16 +31,23 @@ DENSE = 4096
 FAN, SHORT = 16, 48
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """64-bit fingerprint of a text, as a signed long; 0 where it has no words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """64-bit hashes of the word shingles of a text, one for each place; all words make one where they are fewer."""
     words = text.encode().translate(LOWER).split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, k = b" ".join(words), min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     parts = map(joined.__getitem__, map(slice, starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, len(words) - k + 1)
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, len(words) - k + 1)
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """64-bit fingerprint of a text, as a signed long; 0 where it has no words."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         counts += np.unpackbits(hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -271,13 +278,3 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # the complement as key: both sides are shuffled for this join alone, so that a large group can be split
     named = rooted.withColumn("key", F.bitwise_not("root")).join(names, "key").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their group, one for each group, with their columns.
-
-    Rows without a doc_id take part in the groups and are left out, since nothing later could name them.
-    """
-    groups = simhash_groups(docs, doc_id, text, **options)
-    names = groups.where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(names, doc_id, "left_semi").dropDuplicates([doc_id])

@@ -79,7 +79,7 @@ def one_of_each_shingle_group(docs: DataFrame, doc_id: str = "doc_id", text: str
 
     Documents link where their sets of 5-word shingles (ASCII lower case; all words where there are fewer) have a
     Jaccard similarity of 0.8 or more; null and empty texts are equal. Of a group the row with the smallest doc_id
-    stays, rows without one are left out, by a digest of all columns where several have it; equal rows are one.
+    stays, rows without one last, by a digest of all columns where several have it; equal rows are one.
     """
     columns = [F.col(c) for c in docs.columns]
     digest = [F.xxhash64(F.lit(i), *columns, *(c.isNull() for c in columns)) for i in (0, 1)]
@@ -95,5 +95,5 @@ def one_of_each_shingle_group(docs: DataFrame, doc_id: str = "doc_id", text: str
     sets = cut(sets.dropDuplicates(["class"]))
     roots = connected_components(shingle_links(buckets, sets)).select(F.col("node").alias("class"), "root")
     kept = reps.join(roots, "class", "left").groupBy(F.coalesce("root", "class").alias("root")).agg(F.min("name").alias("name"))
-    kept = cut(kept.where("not name.no_id").select("name._h", "name._g"))
+    kept = cut(kept.select("name._h", "name._g"))
     return keyed.join(kept, ["_h", "_g"], "left_semi").dropDuplicates(["_h", "_g"]).select(*docs.columns)

@@ -42,3 +42,11 @@ def test_planted_near_copies_go(spark):
     got = stage(spark, rows)
     want = plain(rows)
     assert sorted((False, r.doc_id) for r in got) == want and 150 <= len(want) < len(rows) - 60
+
+
+def test_every_group_keeps_one(spark):
+    a, b, c = ("one two three four five six seven", "other words that stand quite alone here", "no id has this text of its own")
+    rows = [(7, a, "en", "a", 0), (7, b, "en", "a", 0), (7, a, "en", "a", 0), (3, b, "en", "a", 0), (None, c, "en", "a", 0), (None, c, None, "a", 0), (9, None, "en", "a", 0), (8, "", "en", "a", 0)]
+    got = stage(spark, rows)
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, c), (3, b), (7, a), (8, "")]
+    assert stage(spark, []) == []

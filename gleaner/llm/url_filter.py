@@ -1,8 +1,8 @@
 """URL filter: host and path rules, and for the rest gradient-boosted trees over lexical features.
 
 The trees are fitted on URLs that a rule labels, at most ``SAMPLE`` of them, and judge every URL without a rule.
-Suffix statistics (how often labelled hosts or paths with an ending are blocked) come from one half of the sample, the
-trees from the other, so that no URL's own label is among its features. DataFrame operations and Spark's own trees.
+Suffix statistics (how often labelled hosts or paths with an ending are blocked) come from one half of all labelled
+URLs, the trees from a sample of the other, so that no URL's own label is among its features. DataFrame operations and Spark's own trees.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ from gleaner.llm.common import cut
 #: Fixed values: (verdict, host, path); a rule fits its host and all subdomains where the URL's path starts with its path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
-#: Labelled URLs that the trees and the suffix statistics learn from, at most, and rows that a suffix needs: so there
-#: are at most SAMPLE / SUPPORT suffixes of a kind, which bounds the broadcast table.
+#: Labelled URLs that the trees are fitted on, at most, and rows that a suffix needs.
 SAMPLE, SUPPORT = 200_000, 50
+#: Suffixes, all kinds together, up to which their rates are broadcast; more are joined by shuffles.
+BROADCAST = 50_000
 SUFFIXES = {"top": -1, "domain": -2, "site": -3}
 NUMBERS = ["length", "host_length", "labels", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "last_length", "query_length"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,9 +88,10 @@ def suffix_rates(labelled: DataFrame, support: int = SUPPORT) -> DataFrame:
 
 
 def with_rates(pages: DataFrame, rates: DataFrame) -> DataFrame:
+    few = rates.count() <= BROADCAST
     for kind in STATISTICS:
         own = rates.where(F.col("kind") == kind).select(F.col("suffix").alias(kind), F.col("rate").alias(f"{kind}_rate"), F.col("weight").alias(f"{kind}_weight"))
-        pages = pages.join(F.broadcast(own), kind, "left").fillna({f"{kind}_rate": 0.5, f"{kind}_weight": 0.0})
+        pages = pages.join(F.broadcast(own) if few else own, kind, "left").fillna({f"{kind}_rate": 0.5, f"{kind}_weight": 0.0})
     return pages
 
 
@@ -102,15 +104,15 @@ def url_filter(pages: DataFrame, page_id: str = "page_id", url: str = "url", rul
     """
     rows = parsed(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))).withColumn("fits", rule_of(rules))
     labelled = rows.where(F.col("fits").isNotNull()).select("url", "host", "path", (F.col("fits.verdict") == "block").cast("double").alias("label"), F.xxhash64("url", "page_id").alias("lot"))
-    n = labelled.count()
+    seen = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
+    n = sum(seen.values())
     chosen = labelled if n <= sample else labelled.where(F.pmod("lot", F.lit(n)) < int(0.98 * sample))
     chosen = cut(featured(chosen, "url"))
-    seen = {r.label: r["count"] for r in chosen.groupBy("label").count().collect()}
     if len(seen) < 2:
         scored = rows.withColumn("score", F.lit(1.0 if 1.0 in seen else 0.0))
     else:
         half = F.pmod(F.xxhash64("url", F.lit("half")), F.lit(2)) == 0
-        rates = cut(suffix_rates(chosen.where(half), support))
+        rates = cut(suffix_rates(featured(labelled, "url").where(half), support))
         assembler = VectorAssembler(inputCols=NUMBERS + [f"{k}_{x}" for k in STATISTICS for x in ("rate", "weight")], outputCol="features")
         training = assembler.transform(with_rates(chosen.where(~half), rates)).select("features", "label")
         if len(training.select("label").distinct().collect()) < 2:

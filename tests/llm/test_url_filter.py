@@ -1,5 +1,6 @@
 import random
 
+from gleaner.llm import url_filter as module
 from gleaner.llm.url_filter import RULES, featured, parsed, url_filter
 
 
@@ -58,3 +59,14 @@ def test_features(spark):
     from math import log2
 
     assert abs(row.entropy + sum(text.count(c) / 29 * log2(text.count(c) / 29) for c in set(text))) < 1e-9
+
+
+def test_suffixes_count_all_labelled_urls(spark, monkeypatch):
+    urls = [f"https://{'a' if i % 2 else 'b'}.{'net/es' if i % 3 else 'com/x'}/{i}" for i in range(4000)] + [f"https://rare.site.com/{i}" for i in range(60)]
+    pages, seen = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), []
+    rates = module.suffix_rates
+    monkeypatch.setattr(module, "suffix_rates", lambda *a: seen.append(rates(*a)) or seen[-1])
+    few = url_filter(pages, sample=400, support=10).count()
+    assert "rare.site.com" in {r.suffix for r in seen[0].where("kind = 'site'").collect()}
+    monkeypatch.setattr(module, "BROADCAST", 0)
+    assert url_filter(pages, sample=400, support=10).count() == few == len(urls)

@@ -6,12 +6,15 @@ pass gives the best score of every prefix of every unit; used as heuristic it is
 pops complete paths in order of their score. Among the N best segmentations of a text at most N - 1 units differ from
 their best path, and those are the units whose second best path loses least: only these are searched.
 
-The forward pass is vectorised over the different units of a batch; a task holds one batch at a time.
+The forward pass is vectorised over the different units of a batch; a task holds one batch at a time. The search goes
+on from a place of a unit at most N times, which is exact: no more than the N best ways from there to the unit's end
+can be part of the N best paths. So long runs of one sign, where very many paths tie, cost no more than other units.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from functools import cached_property
 
 import numpy as np
@@ -21,14 +24,17 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 SPACE = "▁"
 #: A score below this marks a placeholder of the vocabulary (runs of blanks); such a piece and an unknown character cost PENALTY more than the worst piece.
 PLACEHOLDER, PENALTY = -1e8, 10.0
-#: Characters of texts that are segmented together, and of units that are searched together.
+#: Characters of texts that are segmented together, and of the longest units whose paths are remembered.
 CHUNK, LONG = 1_000_000, 64
+#: Units of like length from which the forward pass runs over all of them at once.
+TOGETHER = 24
 
 ENCODED = "ids array<int>, score double, nbest array<struct<score: double, edits: array<struct<at: int, n: int, ids: array<int>>>>>"
 
@@ -90,6 +96,13 @@ def _member(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.nd
 
 #: Stands for a literal ▁ of a text inside the lattice; beyond Unicode, so no text and no piece holds it.
 LITERAL = 0x1FFFFF
+#: Stands for LITERAL in strings: a lone surrogate, which no piece holds either.
+_LITERAL_CHAR = "\ud800"
+
+
+def _string(codes: np.ndarray) -> str:
+    """The string of lattice codes."""
+    return "".join([_LITERAL_CHAR if c == LITERAL else chr(c) for c in codes.tolist()])
 
 
 def lattice_codes(text: str) -> np.ndarray:
@@ -147,35 +160,71 @@ class Segmenter:
             put(rest, start, start + 1, self.pieces.unknown, 1, -1)
         return best, second, back, ids
 
-    def search(self, unit: tuple[int, ...]) -> list[tuple[float, tuple[int, ...]]]:
-        """The N best paths of a unit, best first, by backward A* with the forward scores as heuristic: (score, ids)."""
-        if unit in self.found:
-            return self.found[unit]
-        pieces, text = self.pieces, "".join("\0" if c == LITERAL else chr(c) for c in unit)
-        literal, before = LITERAL in unit, [[] for _ in range(len(unit) + 1)]
-        ahead = [0.0] + [-np.inf] * len(unit)
-        for end in range(1, len(unit) + 1):  # the lattice's edges by their ends, and the forward scores
-            for start in range(max(0, end - pieces.longest), end):
-                known = None if literal and LITERAL in unit[start:end] else pieces.by_name.get(text[start:end])
-                if known is not None:
-                    edge = (start, (known[0],), known[1])
-                elif end - start == 1:
-                    edge = (start, pieces.fallback(SPACE if unit[start] == LITERAL else text[start]), pieces.unknown)
-                else:
+    def forward_one(self, codes: np.ndarray):
+        """``forward`` for one unit, place by place: lists of best, second, back and ids."""
+        by_name, longest, text = self.pieces.by_name, self.pieces.longest, _string(codes)
+        n = len(text)
+        best, second = [0.0] + [-np.inf] * n, [-np.inf] * (n + 1)
+        back, which = [0] * (n + 1), [-1] * (n + 1)
+        for start in range(n):
+            for end in range(start + 1, min(n, start + longest) + 1):
+                i, cost = by_name.get(text[start:end]) or ((-1, self.pieces.unknown) if end == start + 1 else (0, None))
+                if cost is None:
                     continue
-                before[end].append(edge)
-                ahead[end] = max(ahead[end], ahead[start] + edge[2])
-        heap, out, order = [(-ahead[len(unit)], 0, len(unit), 0.0, ())], [], 0
+                b1, b2, o1 = best[start] + cost, second[start] + cost, best[end]
+                second[end] = max(min(b1, o1), b2, second[end])
+                if b1 > o1:
+                    best[end], back[end], which[end] = b1, end - start, i
+        return best, second, back, which
+
+    def search(self, codes: np.ndarray, ahead: np.ndarray) -> list[tuple[float, tuple[int, ...]]]:
+        """The N best paths of a unit, best first, as (score, ids), by backward A*; ``ahead``: its forward scores.
+
+        Ties go to the way whose end is nearest to the start of the unit. A way is a place with a link to the way that
+        it came from; the edges into a place are tried from the best on, the next one as soon as one has been taken.
+        """
+        text, n = _string(codes), len(codes)
+        if text in self.found:
+            return self.found[text]
+        pieces, ahead, into, visits = self.pieces, ahead.tolist(), {}, Counter()
+
+        def edges(end):
+            """(forward score, start, cost, ids) of the edges into a place, best first."""
+            if end not in into:
+                some = []
+                for start in range(max(0, end - pieces.longest), end):
+                    known = pieces.by_name.get(text[start:end])
+                    if known is not None:
+                        some.append((-ahead[start] - known[1], start, known[1], (known[0],)))
+                    elif end - start == 1:
+                        c = SPACE if text[start] == _LITERAL_CHAR else text[start]
+                        some.append((-ahead[start] - pieces.unknown, start, pieces.unknown, pieces.fallback(c)))
+                into[end] = sorted(some)
+            return into[end]
+
+        ways, out = [(n, 0.0, None, ())], []  # place, score from there on, the way it came from, ids of the last edge
+        heap = [(edges(n)[0][0], edges(n)[0][1], 0, 0)]  # negative score, start, way, number of the edge into its place
         while heap and len(out) < self.n_best:
-            _, _, end, behind, path = heapq.heappop(heap)
-            if end == 0:
-                out.append((behind, path))
+            _, start, way, k = heapq.heappop(heap)
+            end, behind, _, _ = ways[way]
+            some = edges(end)
+            if k + 1 < len(some):
+                heapq.heappush(heap, (some[k + 1][0] - behind, some[k + 1][1], way, k + 1))
+            if visits[start] == self.n_best:
+                continue
+            visits[start] += 1
+            ways.append((start, behind + some[k][2], way, some[k][3]))
+            if start:
+                first = edges(start)[0]
+                heapq.heappush(heap, (first[0] - ways[-1][1], first[1], len(ways) - 1, 0))
                 continue
-            for start, ids, cost in before[end]:
-                order += 1
-                heapq.heappush(heap, (-(ahead[start] + cost + behind), order, start, behind + cost, ids + path))
-        if len(unit) <= LONG and len(self.found) < 20_000:
-            self.found[unit] = out
+            path, at = [], len(ways) - 1
+            while at is not None:
+                path += ways[at][3]
+                at = ways[at][2]
+            out.append((ways[-1][1], tuple(path)))
+        if n <= LONG and len(self.found) < 20_000:
+            self.found[text] = out
         return out
 
     def segment(self, texts: list[str]):
@@ -206,6 +255,8 @@ class Segmenter:
         u_start, u_length = starts[heads], lengths[heads]
         best, gap, id_lists = np.zeros(len(heads)), np.full(len(heads), np.inf), [None] * len(heads)
         flat_ids, flat_rows, flat_from = [], [], []
+        prefix_at = np.cumsum(u_length + 1) - u_length - 1
+        prefixes = np.empty(int((u_length + 1).sum()))  # the forward scores of all units
         order = np.argsort(u_length, kind="stable")
         at = 0
         while at < len(order):
@@ -214,11 +265,28 @@ class Segmenter:
             some = order[at:limit]
             some = some[u_length[some] <= width + 3]
             at += len(some)
+            if len(some) < TOGETHER:
+                for u in some.tolist():
+                    n = int(u_length[u])
+                    b, s, back, ids = self.forward_one(flat[u_start[u] : u_start[u] + n])
+                    prefixes[prefix_at[u] : prefix_at[u] + n + 1] = b
+                    best[u], gap[u] = b[n], b[n] - s[n]
+                    end, own_ids, own_from = n, [], []
+                    while end:
+                        own_ids.append(ids[end])
+                        end -= back[end]
+                        own_from.append(end)
+                    flat_ids.append(np.array(own_ids, np.int32))
+                    flat_rows.append(np.full(len(own_ids), u))
+                    flat_from.append(np.array(own_from, np.int32))
+                continue
             width = int(u_length[some].max())
             columns = np.arange(width)
             rows = np.where(columns < u_length[some, None], flat[np.minimum(u_start[some, None] + columns, len(flat) - 1)], 0)
             b, s, back, ids = self.forward(rows, u_length[some])
             own = np.arange(len(some))
+            inner = np.arange(width + 1) <= u_length[some, None]
+            prefixes[(prefix_at[some, None] + np.arange(width + 1))[inner]] = b[inner]
             best[some] = b[own, u_length[some]]
             gap[some] = best[some] - s[own, u_length[some]]
             place, alive = u_length[some].copy(), own
@@ -270,20 +338,28 @@ class Segmenter:
             for j in some.tolist():
                 u = int(own[j])
                 mine = tuple(all_ids[begin[u] : begin[u] + counts[u]].tolist())
-                paths = self.search(tuple(flat[u_start[u] : u_start[u] + u_length[u]].tolist()))
+                paths = self.search(flat[u_start[u] : u_start[u] + u_length[u]], prefixes[prefix_at[u] : prefix_at[u] + u_length[u] + 1])
                 others = [(float(best[u]) - s, p) for s, p in paths if p != mine][: self.n_best - 1]
-                choices.append((int(token_from[a + j]) - low, len(mine), others))
+                choices.append([(loss, *_edit(int(token_from[a + j]) - low, mine, p)) for loss, p in others])
             out.append((token_ids[low : int(token_end[b - 1])], score, _combined(score, choices, self.n_best)))
         return out
 
 
+def _edit(at: int, old: tuple[int, ...], new: tuple[int, ...]) -> tuple[int, int, list[int]]:
+    """The edit (at, n, ids) that turns the ids ``old`` from place ``at`` on into ``new``, without what both have at their ends."""
+    most = min(len(old), len(new))
+    head = next((i for i in range(most) if old[i] != new[i]), most)
+    tail = next((i for i in range(most - head) if old[-1 - i] != new[-1 - i]), most - head)
+    return at + head, len(old) - head - tail, list(new[head : len(new) - tail])
+
+
 def _combined(score: float, choices: list, n: int) -> list:
-    """The ``n`` best ways to take an alternative (loss, ids) or none at each of a few places (at, length, alternatives), best first."""
+    """The ``n`` best ways to take an alternative (loss, at, length, ids) or none at each of a few places, best first."""
     ways = [(0.0, ())]
-    for place, (_, _, others) in enumerate(choices):
-        ways += [(loss + more, edits + ((place, k),)) for loss, edits in ways for k, (more, _) in enumerate(others)]
+    for place, others in enumerate(choices):
+        ways += [(loss + other[0], edits + ((place, k),)) for loss, edits in ways for k, other in enumerate(others)]
         ways = heapq.nsmallest(n, ways)
-    return [(score - loss, [(choices[p][0], choices[p][1], list(choices[p][2][k][1])) for p, k in edits]) for loss, edits in ways]
+    return [(score - loss, [choices[p][k][1:] for p, k in edits]) for loss, edits in ways]
 
 
 def model_bytes(model: str) -> bytes:
@@ -298,14 +374,13 @@ def encode_texts(docs: DataFrame, text: str = "text", model: str = MODEL, n_best
     scores. nbest lists the ``n_best`` best segmentations, or all if there are fewer, best first: each as its score
     and its edits of ids, (at, n, ids): from place ``at`` on, ``n`` ids give way to the edit's. A blank in front is
     part of every text that is not empty. Null and empty texts have no ids, score 0 and one segmentation, the empty
-    one. Repeated rows are encoded one by one; an empty table gives no rows. The model file is read on the driver and
-    sent along.
+    one. Repeated rows are encoded one by one; an empty table gives no rows. Columns of ``docs`` by the name of an
+    output column, in any case, give way to it. The model file is read on the driver and sent along.
     """
-    if {"ids", "score", "nbest"} & set(docs.columns):
-        raise ValueError("the table has a column ids, score or nbest already")
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(model))
-    others = [c for c in docs.columns if c != text]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others] + [ENCODED])
+    new = T.StructType.fromDDL(ENCODED)
+    others = [c for c in docs.columns if c != text and c.lower() not in new.names]
+    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in others] + new.fields)
     edit = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
     best = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(edit))]))
 

@@ -1,5 +1,9 @@
+import heapq
 import random
+import resource
+import time
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -54,6 +58,67 @@ def test_nbest_matches_brute_force(pieces):
             assert any(abs(s - x) < 1e-6 for x in scores[p])
 
 
+def nbest_scores(text, pieces, n):
+    """The scores of the n best segmentations, by a dynamic programme that keeps the n best of every prefix."""
+    codes = lattice_codes(text).tolist()
+    chars = ["\0" if c == LITERAL else chr(c) for c in codes]
+    best = [[0.0]]
+    for end in range(1, len(codes) + 1):
+        found = []
+        for start in range(max(0, end - pieces.longest), end):
+            known = pieces.by_name.get("".join(chars[start:end])) if LITERAL not in codes[start:end] else None
+            if known or end == start + 1:
+                found += [s + (known[1] if known else pieces.unknown) for s in best[start]]
+        best.append(heapq.nlargest(n, found))
+    return best[-1]
+
+
+def own_score(ids, pieces):
+    """Score of ids none of which is a byte."""
+    scores = dict(pieces.by_name.values())
+    return sum(scores[i] for i in ids)
+
+
+def test_nbest_matches_a_dynamic_programme_on_long_units(pieces):
+    rnd = random.Random(3)
+    texts = ["-" * 60, "=" * 300, "a" * 299, "ha" * 100, "-=" * 77, " " * 200, "*-_" * 90, "-" * 70 + "x" + "=" * 70, "_" * 64, "é" * 61]
+    texts += ["".join(rnd.choices(rnd.choice(["-=", "ab", "aeh", "_-*", "the "]), k=rnd.randrange(60, 301))) for _ in range(60)]
+    for n in (1, 4, 7):
+        for text, (ids, score, nbest) in zip(texts, Segmenter(model_bytes(MODEL), n).segment(texts), strict=True):
+            want = nbest_scores(text, pieces, n)
+            assert [s for s, _ in nbest] == pytest.approx(want) and score == pytest.approx(want[0])
+            found = [tuple(edited(list(map(int, ids)), edits)) for _, edits in nbest]
+            assert len(set(found)) == len(found) == len(want)
+            for (s, _), path in zip(nbest, found, strict=True):
+                assert own_score(path, pieces) == pytest.approx(s) and decode_ids(path, pieces) == text
+
+
+@pytest.mark.parametrize("base", ["-", "=", "a", "ha", "ab", "▁", " "])
+def test_long_runs_are_cheap(base, pieces):
+    segmenter = Segmenter(model_bytes(MODEL))
+    for n in (400, 1_000, 10_000, 100_000):
+        before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+        ids, _, nbest = segmenter.segment([base * n])[0]
+        assert time.process_time() - began < 30
+        assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500 * 1024  # KB
+        for _, edits in nbest:
+            assert decode_ids(edited(list(map(int, ids)), edits), pieces) == base * n
+
+
+def test_forward_passes_agree(pieces):
+    rnd = random.Random(4)
+    segmenter = Segmenter(model_bytes(MODEL))
+    codes = [lattice_codes("".join(rnd.choices("the ando ng.-é▁", k=rnd.randrange(1, 30)))) for _ in range(80)]
+    lengths = np.array([len(c) for c in codes])
+    padded = np.zeros((len(codes), lengths.max()), np.int64)
+    for row, c in zip(padded, codes, strict=True):
+        row[: len(c)] = c
+    whole = segmenter.forward(padded, lengths)
+    for i, c in enumerate(codes):
+        for all_rows, one in zip(whole, segmenter.forward_one(c), strict=True):
+            assert all_rows[i, 1 : len(c) + 1].tolist() == list(one)[1:]
+
+
 def test_round_trip(pieces):
     rnd = random.Random(2)
     alphabet = [chr(c) for c in (*range(1, 300), 0x2581, 0x4E00, 0x1F600, 0x10FFFF)]
@@ -78,5 +143,14 @@ def test_table(spark):
     nothing = encoded.where("doc_id = 99").first()
     assert (nothing.ids, nothing.score, len(nothing.nbest)) == ([], 0.0, 1)
     assert encode_texts(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        encode_texts(docs.withColumn("ids", F.lit(1)))
+
+
+def test_clashing_columns_give_way(spark):
+    docs = spark.createDataFrame([(1, "the cat", 7, "x", [1], 2.5)], "doc_id long, text string, ids int, NBest string, score array<int>, `c0` double")
+    plain = encode_texts(docs.select("doc_id", "text")).first()
+    encoded = encode_texts(docs)
+    assert encoded.columns == ["doc_id", "c0", "ids", "score", "nbest"]
+    row = encoded.first()
+    assert (row.c0, row.ids, row.score, row.nbest) == (2.5, plain.ids, plain.score, plain.nbest)
+    odd = docs.select("text", F.struct(F.lit(1).alias("a b"), F.lit("x").alias("c.d")).alias("e-f"))
+    assert encode_texts(odd).first()["e-f"].asDict() == {"a b": 1, "c.d": "x"}

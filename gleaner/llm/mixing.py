@@ -162,24 +162,26 @@ def word_range(texts: pd.Series, starts: pd.Series, counts: pd.Series) -> pd.Ser
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str = "n_chars", weights=WEIGHTS, repeats: int = REPEATS, seed: int = 42) -> DataFrame:
-    """The mix as documents with the columns of ``docs``: a row for each reading of a document, cut to the words taken.
+    """The mix as documents with the columns of ``docs``, whatever their names: a row for each reading of a document, cut to the words taken.
 
-    Rows with the same doc_id and text are one document here. Documents without words and those that the mix does not
-    reach are left out; ``n_chars``, where there is such a column, is counted anew.
+    Rows with the same doc_id, text and source are one document here, null or not; which of them stays is open where
+    they differ in other columns. Documents without words and those that the mix does not reach are left out;
+    ``n_chars``, where there is such a column, is counted anew. Texts are shuffled once, to the takes of their key.
     """
-    keys = {"_id": F.col(doc_id), "_digest": F.xxhash64(F.col(text))}
-    single = docs.withColumns(keys).dropDuplicates(["_id", "_digest"])
-    sized = cut(
-        single.select(
-            F.monotonically_increasing_id().alias("row"), "_id", "_digest", F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), "_id", "_digest").alias("place")
-        ).withColumn("doc_id", F.col("_id"))
-    )
+    own, own_text, own_source = (F.col(f"`{c}`") for c in (doc_id, text, source))
+    digests = [F.xxhash64(F.lit(k), own, own.isNull(), own_text, own_text.isNull(), own_source, own_source.isNull()) for k in (0, 1)]
+    keys = [digests[0].alias("_h"), digests[1].alias("_g")]
+    rows = docs.select(*keys, own.alias("doc_id"), own_source.alias("source"), word_count(own_text).alias("size"), F.xxhash64(F.lit(seed), own, F.xxhash64(own_text)).alias("place"))
+    sized = cut(rows.dropDuplicates(["_h", "_g"]).withColumn("row", F.monotonically_increasing_id()))
     _, mix = mixture(sized, weights, repeats)
     takes = mix.groupBy("row", "round").agg(F.min("start").alias("_start"), F.sum("n").alias("_n"))
-    takes = sized.select("row", F.col("_id").alias("_id2"), F.col("_digest").alias("_digest2"), F.col("size").alias("_size")).join(takes, "row").drop("row")
-    joined = single.join(takes, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_digest") == F.col("_digest2")))
-    part = word_range(F.when(F.col("_n") < F.col("_size"), F.col(text)), "_start", "_n")
-    out = joined.withColumn(text, F.coalesce(part, F.col(text)))
-    if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
-    return out.select(*docs.columns)
+    takes = sized.select("row", "_h", "_g", F.col("size").alias("_size")).join(takes, "row").drop("row")
+    packed = docs.select(*keys, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    joined = packed.join(takes, ["_h", "_g"]).dropDuplicates(["_h", "_g", "round"])  # no further shuffle: it is dealt by the key
+    old = {c: F.col("_doc").getField(c) for c in docs.columns}
+    part = word_range(F.when(F.col("_n") < F.col("_size"), old[text]), "_start", "_n")
+    out = joined.withColumn("_new", F.coalesce(part, old[text]))
+    new = {text: F.col("_new")}
+    if n_chars in old:
+        new[n_chars] = F.length("_new").cast(docs.schema[n_chars].dataType)
+    return out.select(*[new.get(c, old[c]).alias(c) for c in docs.columns])

@@ -20,6 +20,8 @@ from gleaner.llm.common import cut
 
 #: Share of the pooled covariance, share of the identity, and the score from which a document is predicted good.
 POOLED, IDENTITY, THRESHOLD = 0.1, 0.02, 0.3
+#: Labelled rows that good_documents() fits its model on, about and at most; their ids are broadcast.
+TRAINING = 200_000
 STATISTICS = ["words", "word_length", "symbols", "upper", "digits", "punctuation", "non_ascii", "exclaims", "distinct", "stutters", "repeats", "repeated_lines", "entropy", "lines"]
 
 CLASSES = np.full(256, 5, np.int64)
@@ -135,18 +137,23 @@ def fit(rows: DataFrame, pooled: float = POOLED, identity: float = IDENTITY) ->
     return QuadraticModel(middle, scale, means, factors, weights)
 
 
-def learned(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> tuple[DataFrame, QuadraticModel | None, float]:
-    """The rows (doc_id, statistics, held_out) of ``docs``, the model, and the score for want of one."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), statistics_of(F.col(text)).alias("statistics"))
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    rows = cut(rows.withColumn("held_out", held))
-    known = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("label")).where(F.col("label").isin(0, 1))
-    known = known.groupBy("_id").agg(F.avg("label").alias("label")).where("label != 0.5").withColumn("label", F.round("label").cast("int"))
-    training = rows.where(~F.col("held_out")).join(known, F.col("doc_id") == F.col("_id")).select("label", "statistics")
+def held_out(doc_id):
+    """Whether a row is kept from the fit: crc32(doc_id as text) mod 5 is 0; a null doc_id has no label and is not."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
+
+
+def known_labels(labels: DataFrame, doc_id: str, label: str) -> DataFrame:
+    """Rows (_id, label): 0 or 1 for each document that has a majority of labels."""
+    known = labels.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{label}`").alias("label")).where(F.col("label").isin(0, 1))
+    return known.groupBy("_id").agg(F.avg("label").alias("label")).where("label != 0.5").withColumn("label", F.round("label").cast("int"))
+
+
+def learned(training: DataFrame) -> tuple[QuadraticModel | None, float]:
+    """The model of rows (label, statistics), and the score for want of one."""
     model, share = fit(training), None
     if model is None:
         share = training.agg(F.avg("label")).first()[0]
-    return rows, model, 0.5 if share is None else float(share)
+    return model, 0.5 if share is None else float(share)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
@@ -158,7 +165,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     of good labels (0.5 without any); repeated rows are scored one by one; other columns are not read; an empty table
     gives no rows.
     """
-    rows, model, share = learned(docs, labels, doc_id, text, label)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), statistics_of(F.col(f"`{text}`")).alias("statistics"))
+    rows = cut(rows.withColumn("held_out", held_out(F.col("doc_id"))))
+    known = known_labels(labels, doc_id, label)
+    model, share = learned(rows.where(~F.col("held_out")).join(known, F.col("doc_id") == F.col("_id")).select("label", "statistics"))
 
     @F.pandas_udf(T.DoubleType())
     def score(x: pd.Series) -> pd.Series:
@@ -168,12 +178,22 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that ``quality_scores`` predicts good, with their columns; the texts do not move."""
-    _, model, share = learned(docs, labels, doc_id, text, label)
+def good_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD, training: int = TRAINING) -> DataFrame:
+    """The rows of ``docs`` that ``quality_scores`` predicts good, with their columns, whatever their names.
+
+    No text moves, and none is parsed twice but those that the model is fitted on: all labelled documents that are not
+    held out, or a sample of them by hash where there are more than ``training``, whose ids are broadcast.
+    """
+    known = known_labels(labels, doc_id, label).where(~held_out(F.col("_id")))
+    n = known.count()
+    if n > training:
+        known = known.where(F.pmod(F.xxhash64("_id", F.lit("training")), F.lit(n)) < int(0.98 * training))
+    texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    fitted = texts.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("label", statistics_of("text").alias("statistics"))
+    model, share = learned(fitted)
 
     @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.array([statistics(t) for t in texts])) if len(texts) else np.zeros(0))
 
-    return docs.where((score(text) if model else F.lit(share)) >= threshold)
+    return docs.where((score(F.col(f"`{text}`")) if model else F.lit(share)) >= threshold)

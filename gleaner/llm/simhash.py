@@ -45,7 +45,11 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """64-bit fingerprint of a text, as a signed long; 0 where it has no words."""
-    hashes = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the ``hashes``, as a signed long; 0 without hashes."""
     if not len(hashes):
         return 0
     counts = np.zeros(64, np.int64)

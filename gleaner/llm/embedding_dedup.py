@@ -2,9 +2,11 @@
 
 In each pass a vector's hash is the signs of its products with random directions, one bit after the other; vectors are
 range-partitioned and sorted by it, and each is compared with the next ``window`` vectors of its label. Pairs that
-pass an exact cosine check are united over all passes. What a bounded window leaves out of a dense group is made up
-for afterwards: the vectors of each component are compared with each other in blocks, so every link inside a component
-is counted, whatever its size. Equal vectors are one class with a weight, and no list of pairs is ever written.
+pass an exact cosine check are united over all passes. How many passes it takes depends on how the vectors lie: those
+that share a direction crowd under few hashes. So passes go on, a round of them at a time, until a round joins hardly
+anything that was not joined before. What a bounded window leaves out of a dense group is made up for afterwards: the
+vectors of each component are compared with each other in blocks, so every link inside a component is counted, whatever
+its size. Equal vectors are one class with a weight, and no list of pairs is ever written.
 """
 
 from __future__ import annotations
@@ -20,17 +22,18 @@ from gleaner.llm.common import cut
 from gleaner.llm.components import connected_components, union
 
 COSINE, WINDOW, BITS, SEED = 0.93, 48, 40, 42
-#: Share of lone pairs at the threshold that all passes together may miss, by which their number is set.
-MISS, MOST_PASSES = 0.002, 64
+#: Share of lone pairs at the threshold that the first passes may miss by the model of evenly spread vectors, and share
+#: of all joins that a further round of passes may add and be the last one. Their number has no ceiling.
+MISS = 0.002
 #: Rows of a block of a large component: SMALL_BLOCK to LARGE_BLOCK, at most BLOCKS blocks while that allows.
 SMALL_BLOCK, LARGE_BLOCK, BLOCKS = 32, 16384, 64
 
 
 def passes_for(n: int, cosine: float = COSINE, window: int = WINDOW) -> int:
-    """Passes after which a lone pair at the threshold among ``n`` vectors of a label is missed with a chance of MISS."""
+    """Passes after which a lone pair at the threshold among ``n`` evenly spread vectors of a label is missed with a chance of MISS."""
     agree = 1 - math.acos(cosine) / math.pi
     found = agree ** max(1.0, math.log2(max(2, n) / window))
-    return min(MOST_PASSES, max(8, math.ceil(math.log(MISS) / math.log(1 - found))))
+    return max(8, math.ceil(math.log(MISS) / math.log(1 - found)))
 
 
 def _matrix(column) -> np.ndarray:
@@ -40,18 +43,21 @@ def _matrix(column) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def vector_classes(rows: DataFrame) -> DataFrame:
-    """Rows (class, label, dim, embedding, first, weight) of the different vectors that can link, from (vec_id, label, embedding)."""
+def keyed_vectors(rows: DataFrame) -> DataFrame:
+    """Rows (vec_id, label, embedding) with h and g: two hashes of label and vector, null where it can link with nothing."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0)
-    classes = rows.where(valid).groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"))
-    return cut(classes.select(F.monotonically_increasing_id().alias("class"), "label", F.size("embedding").alias("dim"), "embedding", "first", "weight"))
+    return rows.withColumns({n: F.when(valid, F.xxhash64(F.lit(k), "label", F.size("embedding"), "embedding")) for k, n in enumerate("hg")})
+
+
+def vector_classes(rows: DataFrame) -> DataFrame:
+    """Rows (class, h, g, label, dim, embedding, first, weight) of the different vectors that can link, from keyed_vectors()."""
+    classes = rows.where("h IS NOT NULL").groupBy("h", "g").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("first"), F.count("*").alias("weight"))
+    return cut(classes.select(F.monotonically_increasing_id().alias("class"), "h", "g", "label", F.size("embedding").alias("dim"), "embedding", "first", "weight"))
 
 
-def window_links(classes: DataFrame, cosine: float = COSINE, window: int = WINDOW, passes: int | None = None, seed: int = SEED) -> DataFrame:
-    """Rows (a, b): verified links that connect what the windows of all passes found, at most one for each row and pass."""
-    if passes is None:
-        passes = passes_for(classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1, cosine, window)
+def window_links(classes: DataFrame, cosine: float = COSINE, window: int = WINDOW, passes: range = range(8), seed: int = SEED) -> DataFrame:
+    """Rows (a, b): verified links that connect what the windows of all ``passes`` found, at most one for each row and pass."""
     kind = classes.schema["embedding"].dataType.simpleString()
     label_kind = classes.schema["label"].dataType.simpleString()
 
@@ -61,7 +67,7 @@ def window_links(classes: DataFrame, cosine: float = COSINE, window: int = WINDO
             for dim in np.unique(dims).tolist():
                 some = batch.filter(pa.array(dims == dim))
                 x = _matrix(some.column(3))
-                for p in range(passes):
+                for p in passes:
                     directions = np.random.default_rng((seed, p, dim)).standard_normal((dim, BITS))
                     bits = (x @ directions > 0).astype(np.int64) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), p, np.int16)), *(some.column(i) for i in (1, 2)), pa.array(bits), *(some.column(i) for i in (0, 3))], ["pass", "label", "dim", "hash", "class", "embedding"])
@@ -100,6 +106,31 @@ def window_links(classes: DataFrame, cosine: float = COSINE, window: int = WINDO
     )
 
 
+def linked_roots(classes: DataFrame, cosine: float = COSINE, window: int = WINDOW, passes: int | None = None) -> DataFrame:
+    """Rows (class, root) of all classes that the windows link, root being the smallest class that links reach.
+
+    ``passes`` sets a fixed number of them. Otherwise passes_for() the largest label come first, then rounds of half as
+    many, until a round joins no more than MISS of all that has been joined.
+    """
+    done = passes or passes_for(classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1, cosine, window)
+    links = cut(window_links(classes, cosine, window, range(done)))
+    step = max(4, done // 2)
+    while True:
+        roots = cut(connected_components(links).select(F.col("node").alias("class"), "root"))
+        if passes:
+            return roots
+        more = window_links(classes, cosine, window, range(done, done + step))
+        done += step
+        a, b = (roots.select(F.col("class").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
+        ends = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        more = cut(ends.where("a <> b").distinct())
+        new, joined = more.count(), roots.where("class <> root").count()
+        if new:
+            links = links.unionByName(more)
+        if new <= MISS * joined:
+            return cut(connected_components(links).select(F.col("node").alias("class"), "root")) if new else roots
+
+
 def component_links(members: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Rows (class, links): the exact number of linked vectors, copies counted, of each class of ``members`` (class, root, embedding, weight).
 
@@ -161,16 +192,17 @@ def embedding_groups(vectors: DataFrame, vec_id: str = "vec_id", embedding: str
     that links reach, the row's own included; rows with a null vec_id never name a component unless all of it is null.
     Repeated rows are vectors of their own; other columns are not read; an empty table gives no rows.
     """
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.col(embedding).alias("embedding"))
+    columns = {"vec_id": vec_id, "label": label, "embedding": embedding}
+    rows = keyed_vectors(vectors.select(*[F.col(f"`{c}`").alias(n) for n, c in columns.items()]))
     classes = vector_classes(rows)
-    roots = cut(connected_components(window_links(classes, cosine, window, passes)).select(F.col("node").alias("class"), "root"))
-    members = classes.join(roots, "class").select("class", "root", "embedding", "weight", "first")
+    roots = linked_roots(classes, cosine, window, passes)
+    members = cut(classes.join(roots, "class").select("class", "root", "embedding", "weight", "first"))
     links = component_links(members.drop("first"), cosine)
     names = members.groupBy("root").agg(F.min("first").alias("name"))
     named = members.join(names, "root").select("class", "name").join(links, "class", "left")
-    found = classes.join(named, "class", "left").select(
-        "label", "embedding", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("name", "first").alias("component_id")
+    found = classes.select("class", "h", "g", "weight", "first").join(named, "class", "left").select(
+        "h", "g", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("name", "first").alias("component_id")
     )
-    out = rows.join(found, ["label", "embedding"], "left")
+    out = rows.select("vec_id", "label", "h", "g").join(found, ["h", "g"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", "label", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))

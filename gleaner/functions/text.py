@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-import re
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -153,47 +152,54 @@ STOP_WORDS = frozenset(
     across including include includes us team teams work working role roles job jobs company candidate candidates experience years year ability strong
     excellent good great new looking join help using use used well like make build building""".split()
 )
-_WORD = re.compile(r"(?:[^\W_]|[+#])+")
-_PHRASE = re.compile("|".join(map(re.escape, sorted(PHRASES, key=len, reverse=True))))
 
 
-def token_list(text: str | None) -> list[str]:
-    """Words for relevance: phrases become one term in one pass, stop words and single bytes go except the languages r and c."""
-    joined = (text or "").lower()
-    if any(p in joined for p in PHRASES):
-        joined = _PHRASE.sub(lambda m: f" {PHRASES[m.group()]} ", joined)
-    if not joined.isascii():  # other numerals than digits part words
-        joined = "".join(" " if c.isnumeric() and not c.isdecimal() and not c.isalpha() else c for c in joined)
-    words = (w.strip("+#") for w in _WORD.findall(joined))
-    return [w for w in words if w not in STOP_WORDS and (len(w.encode()) >= 2 or w in ("r", "c"))]
+def tokens(text):
+    """Words for relevance as an array: lower case, phrases as one term, stop words and single bytes gone except the languages r and c."""
+    joined = F.lower(F.coalesce(text, F.lit("")))
+    for phrase, term in PHRASES.items():
+        joined = F.replace(joined, F.lit(phrase), F.lit(f" {term} "))
+    words = F.transform(F.split(joined, r"[^\p{L}\p{Nd}+#]+", -1), lambda w: F.trim(w, F.lit("+#")))
+    return F.filter(words, lambda w: ~w.isin(*sorted(STOP_WORDS)) & ((F.octet_length(w) >= 2) | w.isin("r", "c")))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def tokens(texts: pd.Series) -> pd.Series:
-    return pd.Series([token_list(t) for t in texts], dtype=object)
-
-
-_HIDDEN = re.compile(r"""<(\w+)[^>]*style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0(?:\.0+)?\s*(?:[;"']|$)|font-size\s*:\s*[01](?:px|pt)?\s*(?:[;"']|$))[^"']*["'][^>]*>.*?</\1\s*>""", re.I | re.S)
-_DROPPED = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", re.I | re.S)
-
-
-def html_text(page: str | None) -> str | None:
-    """The visible text of HTML: entities twice undone, scripts and hidden elements gone, a line for each item and a blank line between blocks."""
-    if page is None:
-        return None
-    text = html.unescape(page)
-    text = _HIDDEN.sub(" ", _DROPPED.sub(" ", text))
-    text = re.sub(r"<br\s*/?>", "\n", text, flags=re.I)
-    text = re.sub(r"</(p|div|section|article|h[1-6]|ul|ol|table|header|footer|nav)\s*>", "\n\n", text, flags=re.I)
-    text = re.sub(r"</(li|tr|dt|dd)\s*>", "\n", text, flags=re.I)
-    text = html.unescape(re.sub(r"<[^>]*>", "", text))
-    lines = [" ".join(x.split()) for x in text.split("\n")]
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
+#: What a style says that puts an element out of sight, and the elements that are searched for it.
+HIDDEN_STYLES = (
+    r"display\s*:\s*none",
+    r"visibility\s*:\s*hidden",
+    r"font-size\s*:\s*[0-2](?:\.\d+)?(?:px|pt|em|rem|%)?\s*(?:;|[\"'])",
+    r"opacity\s*:\s*0(?:\.0\d*)?\s*(?:;|[\"'])",
+    r"color\s*:\s*(?:transparent|#fff(?:fff)?\b|white\b|rgb\(\s*255\s*,\s*255\s*,\s*255\s*\))",
+    r"(?:left|top|text-indent)\s*:\s*-\d{3,}(?:\.\d+)?px",
+)
+HIDDEN_TAGS = "span|div|p|font|small|li|td|section|b|i|em|strong"
+#: Elements whose end is a blank line, and whose end is a line.
+BLOCK_TAGS, ITEM_TAGS = "p|div|h[1-6]|pre|blockquote|section|article|table|tr|ul|ol", "li|dt|dd"
 
 
 @F.pandas_udf(T.StringType())
-def html_to_text(pages: pd.Series) -> pd.Series:
-    return pd.Series([html_text(p) for p in pages], dtype=object)
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else html.unescape(t) for t in texts], dtype=object)
+
+
+def unescaped(text):
+    """``text`` with HTML entities as characters; only texts with an ampersand leave the JVM."""
+    marked = F.contains(text, F.lit("&"))
+    return F.when(marked, _unescaped(F.when(marked, text))).otherwise(text)
+
+
+def html_to_text(page):
+    """The visible text of HTML: entities twice undone, scripts, styles and elements styled out of sight gone, a line
+    for each item and a blank line between blocks. Null stays null."""
+    out = unescaped(F.col(page) if isinstance(page, str) else page)
+    for tag_name in ("script", "style"):
+        out = F.regexp_replace(out, rf"(?is)<\s*{tag_name}[^>]*>.*?<\s*/\s*{tag_name}\s*>", " ")
+    hidden = rf"""(?is)<(?:{HIDDEN_TAGS})\b[^>]*\bstyle\s*=\s*["'][^"']*(?:{"|".join(HIDDEN_STYLES)})[^>]*>.*?</(?:{HIDDEN_TAGS})\s*>"""
+    out = F.regexp_replace(out, hidden, " ")
+    for pattern, put in ((r"(?i)<\s*br\s*/?>", "\n"), (rf"(?i)</\s*(?:{BLOCK_TAGS})\s*>", "\n\n"), (rf"(?i)</\s*(?:{ITEM_TAGS})\s*>", "\n"), (r"<[^>]*>", "")):
+        out = F.regexp_replace(out, pattern, put)
+    lines = F.transform(F.split(unescaped(out), "\n", -1), lambda line: trimmed(F.regexp_replace(line, r"[ \t\r\f\x0B\x{00A0}]+", " ")))
+    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), r"^\n+|\n+\z", "")
 
 
 def clipper(n: int):

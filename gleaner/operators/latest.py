@@ -32,3 +32,17 @@ def nearest_rank(values, q: float):
     """Nearest-rank quantile of an array column: the sorted element at q * (n - 1), rounded half up; null for none."""
     at = F.floor(q * (F.size(values) - 1) + 0.5).cast("int") + 1
     return F.when(F.size(values) > 0, F.element_at(F.array_sort(values), at))
+
+
+def nearest_ranks(rows: DataFrame, key: str, value: str, wanted: dict[str, float]) -> DataFrame:
+    """Rows (key, *wanted): each key's values at the nearest ranks of the shares ``wanted``, null for a key without values.
+
+    Values are counted before they are ordered, so a key costs its different values and no list of them.
+    """
+    counted = rows.groupBy(key, value).agg(F.count(value).alias("_n"))
+    order = Window.partitionBy(key).orderBy(F.col(value).asc_nulls_first())
+    upto = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumns({"_upto": upto, "_total": F.sum("_n").over(Window.partitionBy(key))})
+    rank = lambda q: F.floor(F.lit(q) * (F.col("_total") - 1) + 0.5)
+    at = lambda q: F.when((F.col("_upto") - F.col("_n") <= rank(q)) & (rank(q) < F.col("_upto")), F.col(value))
+    return placed.groupBy(key).agg(*[F.max(at(q)).alias(name) for name, q in wanted.items()])

@@ -23,29 +23,64 @@ def term_counts(docs: DataFrame, keys: list[str], title_tokens: str | None, body
     return body.groupBy(*keys, "term").agg(F.sum("f").alias("f"))
 
 
+def met(left: DataFrame, right: DataFrame, column: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each value of ``column``, of which one may hold very many rows of ``left``.
+
+    Both are dealt by a hash that stands for this join alone, so that the adaptive skew join can split such a value.
+    """
+    deal = F.xxhash64(F.lit("deal"), column).alias("_deal")
+    return left.select("*", deal).join(right.select("*", deal), ["_deal", column], how).drop("_deal")
+
+
 def similarities(counts: DataFrame, profile: DataFrame, docs: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Rows (doc, similarity): cosine of a profile's and each document's weights (1 + ln f) * ln(1 + n / (1 + df)).
 
     df counts the documents of ``docs`` that have a term, n all of them, so that scores are relative to the
-    candidates. ``counts``: (doc, term, f); ``profile``: (term, f). Documents without terms, and all documents of a
-    profile without terms, have similarity 0. Only sums by document and term are shuffled.
+    candidates. ``counts``: (doc, term, f); ``profile``: (term, f). Documents without terms have similarity 0; all
+    similarities are null if the profile has no terms. Only sums by document and term are shuffled.
     """
     total = docs.agg(F.count("*").cast("double")).scalar()
     frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
-    frequency = frequency.join(profile.withColumnRenamed("f", "pf"), "term", "full_outer").withColumn("idf", F.log1p(total / (1 + F.coalesce("df", F.lit(0)))))
-    mine = F.when(F.col("pf").isNotNull(), (1 + F.log("pf")) * F.col("idf")).otherwise(0.0)
-    terms = frequency.withColumn("pw", mine)
-    norm = terms.agg(F.sqrt(F.sum(F.col("pw") * F.col("pw")))).scalar()
-    weighed = counts.join(terms.select("term", "idf", "pw"), "term").withColumn("w", (1 + F.log("f")) * F.col("idf"))
+    wanted = profile.select("term", F.col("f").alias("pf"))
+    idf = F.log1p(total / (1 + F.coalesce("df", F.lit(0))))
+    mine = wanted.join(frequency, "term", "left").select("term", ((1 + F.log("pf")) * idf).alias("pw"))
+    norm = mine.agg(F.sqrt(F.sum(F.col("pw") * F.col("pw")))).scalar()
+    terms = frequency.join(wanted, "term", "left").select("term", idf.alias("idf"), F.coalesce((1 + F.log("pf")) * idf, F.lit(0.0)).alias("pw"))
+    weighed = met(counts, terms, "term").withColumn("w", (1 + F.log("f")) * F.col("idf"))
     sums = weighed.groupBy(doc).agg(F.sum(F.col("w") * F.col("pw")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    value = F.coalesce(F.try_divide(F.col("dot"), F.col("norm") * norm), F.lit(0.0))
+    value = F.when(norm > 0, F.coalesce(F.try_divide(F.col("dot"), F.col("norm") * norm), F.lit(0.0)))
     return docs.select(doc).join(sums, doc, "left").select(doc, value.alias("similarity"))
 
 
-def ranked(similar: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """``similar`` with the whole estimate from 35 to 85."""
-    rows = similar.withColumn("_all", F.lit(1))
-    return scaled(rows, keys or ["_all"], "similarity", "exact").withColumn("estimate", F.round("exact").cast("int")).drop("_all", "exact")
+def ranked(similar: DataFrame) -> DataFrame:
+    """``similar`` with the whole estimate: the similarity drawn linearly to 35..85, 85 where all are equal, 50 where it is null."""
+    ends = similar.agg(F.struct(F.min("similarity").alias("low"), F.max("similarity").alias("high"))).scalar()
+    share = F.when(ends["high"] > ends["low"], (F.col("similarity") - ends["low"]) / (ends["high"] - ends["low"])).otherwise(1.0)
+    exact = F.when(F.col("similarity").isNull(), 50.0).otherwise(35 + 50 * share)
+    return similar.withColumn("estimate", F.round(exact).cast("int"))
+
+
+def pending_ranks(estimates: DataFrame, blended: DataFrame, keys: list[str], doc: str) -> DataFrame:
+    """Rows (*keys, doc, exact, estimate): the rank of each pending posting of a user from 35 to 85.
+
+    ``estimates``: (*keys, doc, estimate) by words alone, for all of them; ``blended``: (*keys, doc, value), the blend
+    with what was learned, for those that have facts. Where there is a value its scale over the user's own values
+    stands, exact and rounded, else the estimate.
+    """
+    fresh = scaled(blended, keys, "value", "scaled").select(*keys, doc, "scaled")
+    joined = estimates.join(fresh, [*keys, doc], "left")
+    return joined.select(*keys, doc, F.coalesce("scaled", F.col("estimate").cast("double")).alias("exact"), F.coalesce(F.round("scaled").cast("int"), "estimate").alias("estimate"))
+
+
+#: A posting's demand for a clearance or citizenship, and a profile that could meet it.
+NEEDS_CLEARANCE = r"(?i)\b(?:security|secret|government|dod|sci|public trust)[- ]+clearance\b|\bclearable\b|\bts/sci\b|\bu\.?s\.? citizen(?:ship)?\b|must be a citizen|\bitar\b"
+SHOWS_CLEARANCE = "(?i)clearance|citizen"
+
+
+def blocked(digest: Column, skills: Column, profile: Column, needs_sponsorship: Column) -> Column:
+    """Whether a posting's digest or skills demand what the profile does not show; who needs sponsorship cannot show it."""
+    demanded = F.concat_ws(" ", F.coalesce(digest, F.lit("")), F.array_join(skills, " ")).rlike(NEEDS_CLEARANCE)
+    return demanded & (needs_sponsorship | ~F.coalesce(profile, F.lit("")).rlike(SHOWS_CLEARANCE))
 
 
 def skill_overlap(skills: Column, profile: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.operators.latest import first_per_key, nearest_rank
+from gleaner.operators.latest import first_per_key, nearest_ranks
 from gleaner.plans.tables import EVENT_NOW, POSTING_NOW, Tables
 from gleaner.queries.register import registry
 
@@ -263,8 +263,8 @@ SELECT employer_key, s[CAST(floor(0.1 * (len(s) - 1) + 0.5) AS INTEGER) + 1] AS
   s[CAST(floor(0.9 * (len(s) - 1) + 0.5) AS INTEGER) + 1] AS p90
 FROM (SELECT employer_key, list(wage_from ORDER BY wage_from) FILTER (wage_from IS NOT NULL) AS s FROM filings WHERE fiscal_year = 1998 GROUP BY employer_key)""")
 def wage_quantiles_nearest(t: Tables) -> DataFrame:
-    wages = t.filings.where("fiscal_year = 1998").groupBy("employer_key").agg(F.collect_list("wage_from").alias("wages"))
-    return wages.select("employer_key", *[nearest_rank(F.col("wages"), q).alias(f"p{round(100 * q)}") for q in (0.1, 0.5, 0.9)])
+    wages = t.filings.where("fiscal_year = 1998").select("employer_key", "wage_from")
+    return nearest_ranks(wages, "employer_key", "wage_from", {f"p{round(100 * q)}": q for q in (0.1, 0.5, 0.9)})
 
 
 SPONSOR_SQL = """

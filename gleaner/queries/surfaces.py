@@ -29,11 +29,11 @@ def pick(key, *values):
 
 
 @query(r"""
-SELECT doc_id, trim(left(text, 80), t.ws) AS body
+SELECT doc_id, trim(text, t.ws) AS body
 FROM documents, (SELECT ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS ws) t""", with_tables=False)
 def reply_fences(t: Tables) -> DataFrame:
-    head, key = F.left("text", F.lit(80)), F.col("doc_id")
-    reply = F.when(key % 3 == 0, F.concat(F.lit(" ```json\n"), head, F.lit("\n```\n"))).when(key % 3 == 1, F.concat(F.lit("```\n"), head)).otherwise(head)
+    text, key = F.col("text"), F.col("doc_id")
+    reply = F.when(key % 3 == 0, F.concat(F.lit(" ```json\n"), text, F.lit("\n```\n"))).when(key % 3 == 1, F.concat(F.lit("```\n"), text)).otherwise(text)
     return t.raw("documents").select("doc_id", replies.without_fences(reply).alias("body"))
 
 

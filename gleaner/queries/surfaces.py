@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import numbers as N
 from gleaner.functions import phrases as P
 from gleaner.functions import replies
+from gleaner.functions.scrub import scrubbed
 from gleaner.operators import accounts
 from gleaner.operators.calls import model_replies
 from gleaner.plans.tables import EVENT_NOW, POSTING_NOW, Tables
@@ -96,12 +97,12 @@ def deep_reply(t: Tables) -> DataFrame:
 
 @query()
 def model_facts(t: Tables) -> DataFrame:
-    """Postings through a deterministic client and its replies through the checks."""
+    """Whole postings, scrubbed and fenced, through a deterministic client, and its replies through the checks."""
 
     def client(prompts):
         return [json.dumps({"seniority": "mid", "sponsorship": "no", "sponsorship_quote": p[10:40], "digest": p[:50] or "empty"}) for p in prompts]
 
-    docs = t.raw("documents").select("doc_id", "text", replies.fenced(F.left(F.coalesce("text", F.lit("")), F.lit(4000))).alias("prompt"))
+    docs = t.raw("documents").select("doc_id", "text", replies.fenced(scrubbed(F.coalesce("text", F.lit("")))).alias("prompt"))
     answered = model_replies(docs, client)
     return answered.select("doc_id", replies.facts(F.col("reply"), F.col("text")).alias("f")).select("doc_id", "f.seniority", "f.sponsorship", "f.sponsorship_quote", "f.digest")
 

@@ -295,6 +295,51 @@ def amazon(pages: DataFrame, site: str) -> DataFrame:
     )
 
 
+def _detailed(listed: DataFrame, details: DataFrame, title: Column, parts: list[Column], **given: Column) -> DataFrame:
+    """Listed postings with the title and the filled parts of their details; other columns as listed unless given."""
+    rows = listed.join(details, "ext_id")
+    rows = rows.withColumn("_html", _joined(F.array(*[F.when(trimmed(p) != "", p) for p in parts]), "\n")).withColumn("_text", html_to_text("_html"))
+    own = {c: F.col(c) for c in COLUMNS} | {"title": F.coalesce(F.nullif(_clean(title), F.lit("")), F.col("title")), "description_html": F.col("_html"), "description_text": F.col("_text")}
+    return _posting(rows, **(own | given))
+
+
+ORACLE_DETAIL = "ext_id string, items array<struct<Title: string, ExternalDescriptionStr: string, ExternalResponsibilitiesStr: string, ExternalQualificationsStr: string, ExternalPostedStartDate: string, WorkplaceTypeCode: string>>"
+
+
+def oracle_detail(listed: DataFrame, details: DataFrame) -> DataFrame:
+    """Description, responsibilities and qualifications; postings whose page holds none are left out."""
+    d = F.try_element_at("items", F.lit(1))
+    remote = F.when(d["WorkplaceTypeCode"].eqNullSafe(F.lit("ORA_REMOTE")), True).otherwise(F.col("is_remote"))
+    parts = [d["ExternalDescriptionStr"], d["ExternalResponsibilitiesStr"], d["ExternalQualificationsStr"]]
+    return _detailed(listed, details.where(F.size("items") > 0), d["Title"], parts, is_remote=remote, posted_at=F.coalesce(_time(d["ExternalPostedStartDate"], None), F.col("posted_at")))
+
+
+RIPPLING_DETAIL = "ext_id string, name string, description struct<company: string, role: string>, createdOn string"
+
+
+def rippling_detail(listed: DataFrame, details: DataFrame) -> DataFrame:
+    """The role, then the company."""
+    return _detailed(listed, details, F.col("name"), [F.col("description.role"), F.col("description.company")], posted_at=F.coalesce(_time(F.col("createdOn"), None), F.col("posted_at")))
+
+
+WORKABLE_DETAIL = "ext_id string, detail struct<title: string, description: string, requirements: string, benefits: string, workplace: string, remote: boolean>"
+
+
+def workable_detail(listed: DataFrame, details: DataFrame) -> DataFrame:
+    """Description, requirements and benefits."""
+    d = F.col("detail")
+    remote = F.when(F.coalesce(d["remote"], F.lit(False)) | _is(d["workplace"], "remote"), True).otherwise(F.col("is_remote"))
+    return _detailed(listed, details, d["title"], [d["description"], d["requirements"], d["benefits"]], is_remote=remote)
+
+
+EIGHTFOLD_DETAIL = "ext_id string, job_description string"
+
+
+def eightfold_detail(listed: DataFrame, details: DataFrame) -> DataFrame:
+    """The description alone."""
+    return _detailed(listed, details, F.col("title"), [F.col("job_description")])
+
+
 @dataclass(frozen=True)
 class Board:
     """A board system: the schema of its pages and its reader."""

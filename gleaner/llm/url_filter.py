@@ -1,6 +1,8 @@
 """URL filter: host and path rules, and for the rest gradient-boosted trees over lexical features.
 
 The trees are fitted on URLs that a rule labels, at most ``SAMPLE`` of them, and judge every URL without a rule.
+Each stands twice among their rows, once as if its suffixes were unknown: so the trees learn what other features say,
+which is all there is of hosts that no rule knows.
 Suffix statistics (how often labelled hosts or paths with an ending are blocked) come from one half of all labelled
 URLs, the trees from a sample of the other, so that no URL's own label is among its features. DataFrame operations and Spark's own trees.
 """
@@ -95,6 +97,11 @@ def with_rates(pages: DataFrame, rates: DataFrame) -> DataFrame:
     return pages
 
 
+def without_rates(rows: DataFrame) -> DataFrame:
+    """``rows`` as with_rates() gives them where no suffix is known."""
+    return rows.withColumns({f"{k}_{x}": F.lit(value) for k in STATISTICS for x, value in (("rate", 0.5), ("weight", 0.0))})
+
+
 def url_filter(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=None, sample: int = SAMPLE, support: int = SUPPORT, trees: int = 20, depth: int = 4) -> DataFrame:
     """One row for each row of ``pages``: page_id, host, path, rule, verdict, score.
 
@@ -114,9 +121,10 @@ def url_filter(pages: DataFrame, page_id: str = "page_id", url: str = "url", rul
         half = F.pmod(F.xxhash64("url", F.lit("half")), F.lit(2)) == 0
         rates = cut(suffix_rates(featured(labelled, "url").where(half), support))
         assembler = VectorAssembler(inputCols=NUMBERS + [f"{k}_{x}" for k in STATISTICS for x in ("rate", "weight")], outputCol="features")
-        training = assembler.transform(with_rates(chosen.where(~half), rates)).select("features", "label")
-        if len(training.select("label").distinct().collect()) < 2:
-            training = assembler.transform(with_rates(chosen, rates)).select("features", "label")
+        own = with_rates(chosen.where(~half), rates)
+        if len(own.select("label").distinct().collect()) < 2:
+            own = with_rates(chosen, rates)
+        training = assembler.transform(own.unionByName(without_rates(own))).select("features", "label")
         model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=9, maxBins=64).fit(training)
         judged = model.transform(assembler.transform(with_rates(featured(rows, "url"), rates)))
         scored = judged.withColumn("score", vector_to_array("probability")[1])

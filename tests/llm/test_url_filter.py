@@ -70,3 +70,28 @@ def test_suffixes_count_all_labelled_urls(spark, monkeypatch):
     assert "rare.site.com" in {r.suffix for r in seen[0].where("kind = 'site'").collect()}
     monkeypatch.setattr(module, "BROADCAST", 0)
     assert url_filter(pages, sample=400, support=10).count() == few == len(urls)
+
+
+def test_held_out_urls_without_a_rule(spark):
+    """Rules label some hosts; the trees judge hosts that no rule and no suffix statistic knows, by how their URLs look."""
+    rnd = random.Random(12)
+    word = lambda n: "".join(rnd.choices("abcdefghij", k=n))
+
+    def url(host, bad):
+        if rnd.random() < 0.01:
+            bad = not bad  # noise
+        if bad:
+            return f"http://{host}/{'/'.join(word(2) + str(rnd.randrange(10**5)) for _ in range(rnd.randrange(2, 6)))}?a={rnd.randrange(10**9)}&b={rnd.randrange(10**9)}&c={word(3)}"
+        return f"http://{host}/{word(6)}/{word(rnd.randrange(4, 9))}-{word(5)}"
+
+    rows, truth = [], {}
+    for i in range(3000):
+        bad, known = i % 3 == 0, i % 2 == 0
+        host = f"{word(4)}.{'evil' if bad else 'good'}-{i % 4}.org" if known else f"{word(5)}.{word(4)}.net"
+        rows.append((i, url(host, bad)))
+        if not known:
+            truth[i] = bad
+    rules = [("block" if kind == "evil" else "allow", f"{kind}-{k}.org", "/") for kind in ("evil", "good") for k in range(4)]
+    got = {r.page_id: r for r in url_filter(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).collect()}
+    assert all(got[i].rule is None for i in truth)
+    assert sum((got[i].verdict == "block") == bad for i, bad in truth.items()) >= 0.9 * len(truth)

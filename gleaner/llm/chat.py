@@ -20,6 +20,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Turns of a segment: a conversation with more is rendered in segments, so that none has to fit into one task.
 #: A segment with more characters than LONGEST (repeated or very long turns) goes on in another part.
 TURNS, LONGEST = 512, 4_000_000
+#: Renderings that are encoded together: so many, or as many as have so many characters.
+TOGETHER, CHARACTERS = 256, 4_000_000
 
 TAGS = {"system": "SYS", "user": "INST", "assistant": "ANS"}
 CONTROL = r"</?s>|\[/?(?:SYS|INST|ANS|ROLE)\]"
@@ -74,9 +76,11 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     """Rows (conv_id, segment, part, n_turns, formatted, ids, loss, loss_ranges): the rendered and encoded conversations.
 
     Turns stand by turn number, equal numbers by role and text; null numbers come first; null texts and roles are
-    empty; a null conv_id is a conversation; repeated rows are turns of their own. A segment holds the turns whose
-    numbers share a multiple of ``turns_a_segment``; it goes on in another part beyond ``longest`` characters. Other
-    columns are not read; an empty table gives no rows. The tokenizer file is read on the driver and sent along.
+    empty; a null conv_id is a conversation; repeated rows are turns of their own. A conversation is rendered and
+    encoded once as a whole if it is one segment of one part, as all with up to ``turns_a_segment`` turns and
+    ``longest`` characters are: a segment holds the turns whose numbers share a multiple of ``turns_a_segment``, and it
+    goes on in another part beyond ``longest`` characters, each encoded once. Other columns are not read; an empty
+    table gives no rows. The tokenizer file is read on the driver and sent along.
     """
     spark = turns.sparkSession
     with open(tokenizer, encoding="utf-8") as file:
@@ -101,15 +105,18 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
 
         encoder = Tokenizer.from_str(vocabulary.value)
         encoder.encode_special_tokens = True
-        done, key, own, size, part, key_type = [], None, [], 0, 0, None
+        done, key, own, size, part, key_type, waiting = [], None, [], 0, 0, None, 0
 
         def close():
-            nonlocal own, size, part
+            nonlocal own, size, part, waiting
             if own:
                 done.append((key, part, len(own), *render(own)))
+                waiting += len(done[-1][3])
             own, size, part = [], 0, part + 1
 
         def flush():
+            nonlocal waiting
+            waiting = 0
             encoded = encoder.encode_batch([d[3] for d in done], add_special_tokens=False)
             columns = [[] for _ in arrow]
             for (k, p, n, formatted, spans), e in zip(done, encoded, strict=True):
@@ -131,7 +138,7 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
                     close()
                 own.append((who, what))
                 size += len(what)
-                if len(done) >= 256:
+                if len(done) >= TOGETHER or waiting >= CHARACTERS:
                     yield flush()
         close()
         if done:

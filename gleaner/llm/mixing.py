@@ -3,7 +3,9 @@
 Slot k of the schedule has the golden-ratio point frac(k * phi); the cumulative weights of the sources divide [0, 1),
 so every stretch of the schedule holds each source near its share. The n-th slot of a source takes its n-th block of
 words: its documents, in hashed order, make a stream that is cut into blocks of equal length and read up to
-``repeats`` times. Ranks and stream positions are prefix sums in two levels, so no source is one task's work.
+``repeats`` times. Blocks are as long as each other within a source; a source of less than LEAST_BLOCKS whole blocks
+has shorter ones and accordingly more slots, so that what is taken of it comes within about a thousandth of its words.
+Ranks and stream positions are prefix sums in two levels, so no source is one task's work.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from gleaner.functions.replies import without_fences
-from gleaner.functions.text import trimmed
+from gleaner.functions.text import phrase_set, trimmed
 
 #: Skills that go by another name.
 SYNONYMS = {
@@ -161,3 +161,26 @@ def bullet_priority(section, entry, bullet, is_project, hits, dropped_at=None, d
     if dropped_at is None or not dropped:
         return rank.cast("double")
     return rank - F.when(dropped_at.isNotNull(), 100_000.0 * (dropped - dropped_at) / dropped).otherwise(0.0)
+
+
+def named_phrases(text):
+    """The runs of one to three words of a text and, for each of them and of its parts between slashes, the usual name."""
+    runs = F.array_remove(F.transform(phrase_set(F.coalesce(text, F.lit(""))), lambda p: F.trim(p, F.lit(".,/"))), "")
+    parts = F.array_remove(F.flatten(F.transform(runs, lambda p: F.split(p, "/", -1))), "")
+    return F.array_distinct(F.concat(runs, F.transform(F.array_distinct(F.concat(runs, parts)), canonical_skill)))
+
+
+def keyword_coverage(text, keywords):
+    """Struct (matched, missing, percent) of keywords in a text: one is met by any of its forms under its usual name, and counts once."""
+    have = named_phrases(text)
+    named = F.filter(F.transform(keywords, lambda k: F.struct(k.alias("word"), canonical_skill(k).alias("name"))), lambda k: k["name"] != "")
+
+    def found(both):
+        once = F.filter(both["named"], lambda k, i: ~F.exists(F.slice(both["named"], 1, i), lambda x: x["name"] == k["name"]))
+        met = lambda k: F.exists(keyword_forms(k["word"]), lambda f: F.array_contains(both["have"], canonical_skill(f)) | F.array_contains(both["have"], F.lower(trimmed(f))))
+        words = lambda keep: F.transform(F.filter(once, keep), lambda k: k["word"])
+        matched, missing = words(met), words(lambda k: ~met(k))
+        percent = F.when(F.size(once) > 0, F.floor(100 * F.size(matched) / F.size(once))).otherwise(0).cast("int")
+        return F.struct(matched.alias("matched"), missing.alias("missing"), percent.alias("percent"))
+
+    return F.transform(F.array(F.struct(have.alias("have"), named.alias("named"))), found)[0]

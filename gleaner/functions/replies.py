@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gleaner.functions.numbers import coverage, ratings_valid, rubric_score, verdict
 from gleaner.functions.text import trimmed
 
 #: What a reply may say; anything else counts as unknown.
@@ -108,3 +109,55 @@ def _deep(d):
 def merged(facts_struct, fit_struct):
     """One struct with the fields of both."""
     return F.when(facts_struct.isNotNull() & fit_struct.isNotNull(), F.struct(facts_struct.alias("facts"), fit_struct.alias("fit")))
+
+
+#: What an analysis and its ratings hold; and a form's fields and the answers that a reply suggests for them.
+RATINGS = ("role", "seniority", "skills", "domain", "location")
+ANALYSIS = f"ratings struct<{', '.join(f'{r}: int' for r in RATINGS)}, blocker: boolean>, seniority string, sponsorship string, work_mode string, years_required int, skills_matched array<string>, skills_missing array<string>"
+SUGGESTIONS = "answers array<struct<id: string, value: string, confidence: string, why: string>>"
+CHOICES = ("select", "radio", "buttons", "listbox", "combobox", "checkboxes")
+
+
+def analysis(reply):
+    """The analysis in a reply with its fit and verdict; null unless every rating and name in it is one that is known."""
+    return _once(F.from_json(without_fences(reply), ANALYSIS), _analysis)
+
+
+def _analysis(a):
+    r = a["ratings"]
+    named = [F.coalesce(a[k].isin(*values), F.lit(False)) for k, values in (("seniority", SENIORITY), ("sponsorship", SPONSORSHIP), ("work_mode", WORK_MODES))]
+    valid = ratings_valid(*[r[k] for k in RATINGS]) & named[0] & named[1] & named[2] & (F.coalesce(a["years_required"], F.lit(0)) >= 0)
+    listed = lambda k: F.coalesce(a[k], F.array().cast("array<string>"))
+    fit = rubric_score(*[r[k] for k in RATINGS], F.coalesce(r["blocker"], F.lit(False)), coverage(listed("skills_matched"), listed("skills_missing")))
+    kept = [a[k].alias(k) for k in ("seniority", "sponsorship", "work_mode", "years_required", "skills_matched", "skills_missing")]
+    return F.when(valid, F.struct(fit.alias("fit"), verdict(fit).alias("verdict"), *kept))
+
+
+def form_answers(reply, fields, today, clean, choice, past_start):
+    """The suggestions in a reply that fit a form's fields: array of (id, value, confidence, why), the first for each field.
+
+    ``fields``: array of (id, label, kind, options, max_length). A suggestion needs a known id and a value: for a choice,
+    options that exist, only one unless several may be ticked; for a box, yes; no start that has gone by. Values are
+    cut to the field's limit. ``clean``, ``choice`` and ``past_start`` are the functions of letters and forms.
+    """
+    none = F.array().cast("array<struct<id: string, value: string, confidence: string, why: string>>")
+    said = F.coalesce(F.from_json(without_fences(reply), SUGGESTIONS)["answers"], none)
+
+    def fitted(a):
+        field = F.filter(fields, lambda f: f["id"] == a["id"])[0]
+        plain = trimmed(clean(F.coalesce(a["value"], F.lit(""))))
+        value = F.when(F.lower(plain) == "true", "yes").when(F.lower(plain) == "false", "").otherwise(plain)
+        picked = F.array_remove(F.transform(F.split(value, r"\|", -1), lambda part: choice(field["options"], part)), "")
+        several = F.when((F.size(picked) > 1) & (field["kind"] != "checkboxes"), "").otherwise(F.array_join(picked, " | "))
+        chosen = F.when(field["kind"].isin(*CHOICES) & (F.size(field["options"]) > 0), several).otherwise(value)
+        ticked = F.when((field["kind"] == "checkbox") & (F.lower(chosen) != "yes"), "").otherwise(chosen)
+        usual = F.when(field["kind"] == "textarea", 2000).otherwise(600)
+        limit = F.when(field["max_length"] > 0, F.least(field["max_length"], usual)).otherwise(usual)
+        fresh = F.when(past_start(field["label"], ticked, today), "").otherwise(ticked)
+        sure = F.when(a["confidence"] == "high", "high").otherwise("low")
+        return F.struct(a["id"].alias("id"), F.left(fresh, limit).alias("value"), sure.alias("confidence"), F.left(trimmed(F.coalesce(a["why"], F.lit(""))), F.lit(120)).alias("why"))
+
+    known = F.filter(said, lambda a: F.exists(fields, lambda f: f["id"] == a["id"]))
+    filled = lambda kept: F.filter(kept, lambda a: a["value"] != "")
+    first = lambda kept: F.filter(kept, lambda a, i: ~F.exists(F.slice(kept, 1, i), lambda b: b["id"] == a["id"]))
+    return _once(filled(F.transform(known, fitted)), first)

@@ -8,8 +8,8 @@ from zoneinfo import ZoneInfo
 
 from pyspark.sql import functions as F
 
-from gleaner.functions.phrases import canonical_skill
-from gleaner.functions.text import phrase_set, trimmed
+from gleaner.functions.phrases import canonical_skill, named_phrases
+from gleaner.functions.text import trimmed
 
 #: Months by their first letters, and the month that a season stands for.
 MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12}
@@ -178,7 +178,7 @@ def known_terms(text):
         placed = F.transform(once, lambda e, i: F.struct(F.when(F.instr(low, e["term"]) > 0, F.instr(low, e["term"])).otherwise(F.length(low) + 1).alias("at"), i.alias("i"), e["term"].alias("term")))
         return F.transform(F.array_sort(placed), lambda p: p["term"])
 
-    return _once(phrase_set(low), hits)
+    return _once(named_phrases(low), hits)
 
 
 def choice(options, value):

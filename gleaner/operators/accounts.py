@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import manual_hash
 from gleaner.operators.merge import upsert
 
 #: Attempts after which a message is given up, and minutes that a claimed one may stay unsent.
@@ -108,3 +109,54 @@ def requeued(matches: DataFrame, analyses: DataFrame, profile_hash: str = "profi
     joined = matches.join(current, ["user_id", "job_id"], "left")
     stage = F.when((F.col("stage") == "scored") & F.col("_current").isNull(), "pending_score").otherwise(F.col("stage"))
     return joined.withColumn("stage", stage).select(*matches.columns)
+
+
+def answered(questions: DataFrame, asked: DataFrame, now: Column) -> DataFrame:
+    """Attempts (user_id, question_id, choice, correct, answer, explanation, created_at) from choices of 0 to 3 on known ``questions`` (id, answer, explanation)."""
+    own = questions.select(F.col("id").alias("question_id"), "answer", "explanation")
+    graded = asked.where(F.col("choice").between(0, 3)).join(own, "question_id")
+    return graded.select("user_id", "question_id", "choice", (F.col("choice") == F.col("answer")).alias("correct"), "answer", "explanation", now.alias("created_at"))
+
+
+def run_log(runs: DataFrame, finished: DataFrame, now: Column) -> DataFrame:
+    """``runs`` (id, started_at, finished_at, status, error, totals...) with the totals and the end of those in ``finished`` (id, status, error, totals...)."""
+    given = [c for c in finished.columns if c not in ("id", "error")]
+    closing = finished.select("id", *given, F.nullif("error", F.lit("")).alias("error"), now.alias("finished_at"))
+    return upsert(runs, closing.join(runs.select("id"), "id", "left_semi"), ["id"])
+
+
+def saved_resumes(resumes: DataFrame, saved: DataFrame) -> DataFrame:
+    """``resumes`` (user_id, job_id, ...) with the newest of ``saved`` (..., updated_at) for each user and job.
+
+    A user has one resume for each job and one base resume, whose job_id is null: null keys match each other.
+    """
+    newest = Window.partitionBy("user_id", "job_id").orderBy(F.desc("updated_at"))
+    latest = saved.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    return upsert(resumes, latest, ["user_id", "job_id"])
+
+
+def autofill_runs(pages: DataFrame) -> DataFrame:
+    """Rows (run_id, user_id, pages, fields, filled, cost_cents) from the pages (run_id, user_id, fields, filled, cost_cents) that a form was filled on."""
+    return pages.groupBy("run_id", "user_id").agg(F.count("*").alias("pages"), *[F.sum(c).alias(c) for c in ("fields", "filled", "cost_cents")])
+
+
+def added_jobs(jobs: DataFrame, matches: DataFrame, companies: DataFrame, asked: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (user_id, url, job_id, is_new, company_id, company, ext_id, content_hash): what a posting that a user adds by hand becomes.
+
+    ``asked``: (user_id, url, title, location, description, company); ``found``: (user_id, url, job_id), the user's own
+    postings by address. The ladder: the user's own posting; else an open one of the same address that any user has,
+    board postings before manual ones, then the smallest id; else a new one, under the company of that name whatever
+    its case, boards first, or a new manual company (company_id null). New postings of a user are named by user and
+    address, so adding one twice gives one.
+    """
+    plain = lambda c: F.rtrim(c, F.lit("/"))
+    rank = F.struct((F.col("source") == "manual").alias("manual"), F.col("id").alias("id"))
+    shared = jobs.where("closed_at IS NULL").groupBy(plain(F.col("url")).alias("_address")).agg(F.min(rank)["id"].alias("_shared"))
+    named = companies.groupBy(F.lower("name").alias("_name")).agg(F.min(F.struct((F.col("ats") == "manual").alias("manual"), "id"))["id"].alias("company_id"))
+    rows = asked.join(found.select("user_id", "url", F.col("job_id").alias("_own")), ["user_id", "url"], "left").withColumns({"_address": plain(F.col("url")), "_name": F.lower("company")})
+    rows = rows.join(shared, "_address", "left").join(named, "_name", "left")
+    known = F.coalesce("_own", "_shared")
+    fresh = lambda c: F.when(known.isNull(), c)
+    ext_id = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), F.left(F.sha2("url", 256), F.lit(16)))
+    digest = manual_hash(F.col("title"), F.col("location"), F.col("description"))
+    return rows.select("user_id", "url", known.alias("job_id"), known.isNull().alias("is_new"), fresh(F.col("company_id")).alias("company_id"), fresh(F.col("company")).alias("company"), fresh(ext_id).alias("ext_id"), fresh(digest).alias("content_hash"))

@@ -7,7 +7,8 @@ preferences are part of the expression; postings are never crossed with them out
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass, field, fields
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,28 @@ class Catalog:
     refusal_words: list[str] = field(default_factory=lambda: ["sponsor", "visa", "citizen", "clearance"])
     flags: list[str] = field(default_factory=list)
 
+    @classmethod
+    def from_mapping(cls, given: dict) -> Catalog:
+        """The catalog in a mapping, as a YAML or JSON file holds it: names of fields to lists; levels and overrides as pairs.
+
+        Raises ValueError for an unknown field, for overrides of families that there are not, and for a pattern that is none.
+        """
+        unknown = set(given) - {f.name for f in fields(cls)}
+        if unknown or not {"families", "levels"} <= set(given):
+            raise ValueError(f"unknown fields {sorted(unknown)}, or no families and levels")
+        made = cls(**given | {k: {name: tuple(pair) for name, pair in given.get(k, {}).items()} for k in ("levels", "overrides")})
+        missing = {f for names, _ in made.overrides.values() for f in names} - set(made.families)
+        if missing:
+            raise ValueError(f"overrides of unknown families {sorted(missing)}")
+        patterns = [p for group in made.families.values() for p in group] + [p for pair in made.levels.values() for group in pair for p in group]
+        patterns += [p for _, group in made.overrides.values() for p in group] + made.home + made.refusals + made.flags
+        for p in patterns:
+            try:
+                re.compile(p)
+            except re.error as wrong:
+                raise ValueError(f"no pattern: {p!r}: {wrong}") from wrong
+        return made
+
 
 @dataclass
 class Preferences:

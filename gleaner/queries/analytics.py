@@ -207,14 +207,15 @@ SELECT employer_key, count(*) AS filings, count(*) FILTER (new_employment) AS ne
 FROM filings GROUP BY employer_key""")
 def employer_detail(t: Tables) -> DataFrame:
     wage = F.col("wage_from")
-    quantiles = {"p25": 0.25, "median": 0.5, "p75": 0.75}
-    return t.filings.groupBy("employer_key").agg(
+    names = ("p25", "median", "p75")
+    found = t.filings.groupBy("employer_key").agg(
         F.count("*").alias("filings"),
         F.count(F.when(F.col("new_employment"), 1)).alias("new_hires"),
-        *[wage_percentile(q).alias(name) for name, q in quantiles.items()],
+        F.percentile(F.round(wage * 100).cast("long"), [0.25, 0.5, 0.75]).alias("q"),
         F.min(wage).alias("lowest"),
         F.max(wage).alias("highest"),
     )
+    return found.select("employer_key", "filings", "new_hires", *[(F.col("q")[i] / 100).alias(name) for i, name in enumerate(names)], "lowest", "highest")
 
 
 def _top_sql(column: str, n: int) -> str:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions import phrases, replies
 from gleaner.functions import resumes as P
-from gleaner.operators import lookup
+from gleaner.operators import accounts, lookup
 from gleaner.plans.tables import Tables
 from gleaner.queries.content import CATALOG, PREFS, RULE_SQL, rule_postings
 from gleaner.queries.register import registry
@@ -163,3 +164,121 @@ def incremental_filter(t: Tables) -> DataFrame:
     )
     after = lookup.filtered(postings, before, PREFS, CATALOG, "version")
     return after.select("id", F.coalesce("reason", F.lit("kept")).alias("reason"), "analysis_id", "version")
+
+
+@query(r"""
+SELECT id, id % 6 > 0 AS valid, CASE WHEN id % 6 > 0 THEN CASE id % 6 WHEN 1 THEN 75 ELSE 80 END END AS fit, CASE WHEN id % 6 > 0 THEN CASE id % 6 WHEN 1 THEN 'good' ELSE 'strong' END END AS verdict FROM posts WHERE id % 6 < 3""")
+def analysis_replies(t: Tables) -> DataFrame:
+    """Strict readings of made-up analyses: one with an unknown level, one with few skills matched, one without enough skills to count."""
+    good = '{"ratings": {"role": 8, "seniority": 8, "skills": 8, "domain": 8, "location": 8}, "seniority": "mid", "sponsorship": "no", "work_mode": "remote", "skills_matched": %s, "skills_missing": %s}'
+    key = F.col("id") % 6
+    said = F.when(key == 0, good.replace("mid", "wizard") % ("[]", "[]")).when(key == 1, "```json\n" + good % ('["a"]', '["b", "c"]') + "\n```").otherwise(good % ("[]", '["b"]'))
+    return t.posts.where("id % 6 < 3").select("id", replies.analysis(said).alias("a")).select("id", F.col("a").isNotNull().alias("valid"), F.col("a.fit").alias("fit"), F.col("a.verdict").alias("verdict"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'a=' || p_name || ';c=' || p_brand || ';d=yes' WHEN 1 THEN 'a=' || left(p_name, 5) ELSE '' END AS answers FROM part", with_tables=False)
+def form_answers(t: Tables) -> DataFrame:
+    """Suggestions for a form that fit its fields; ids, options, boxes and past dates that do not fit fall out."""
+    key = F.col("p_partkey") % 3
+    fields = F.array(*[
+        F.struct(F.lit(i).alias("id"), F.lit(label).alias("label"), F.lit(kind).alias("kind"), options.alias("options"), limit.alias("max_length"))
+        for i, label, kind, options, limit in (
+            ("a", "Name", "text", F.array().cast("array<string>"), F.when(key == 1, 5).otherwise(0)),
+            ("b", "Start date", "text", F.array().cast("array<string>"), F.lit(0)),
+            ("c", "Brand", "select", F.array(F.lit("None"), "p_brand"), F.lit(0)),
+            ("d", "Agree", "checkbox", F.array().cast("array<string>"), F.lit(0)),
+        )
+    ])
+    answer = lambda i, v: F.struct(F.lit(i).alias("id"), v.alias("value"), F.lit("high").alias("confidence"), F.lit("").alias("why"))
+    given = F.array(
+        answer("a", F.when(key < 2, F.col("p_name"))), answer("a", F.lit("again")), answer("b", F.lit("2001-01-01")), answer("c", F.when(key == 0, F.upper("p_brand")).otherwise("no such")),
+        answer("d", F.when(key == 0, "true").otherwise("no")), answer("zz", F.lit("unknown")),
+    )
+    given = F.when(key == 2, F.filter(given, lambda a: a["id"] != "a")).otherwise(given)
+    reply = F.to_json(F.struct(given.alias("answers")))
+    kept = replies.form_answers(reply, fields, F.lit("2002-01-01").cast("date"), phrases.clean_letter, P.choice, P.past_start)
+    return t.raw("part").select("p_partkey", F.array_join(F.transform(kept, lambda a: F.concat(a["id"], F.lit("="), a["value"])), ";").alias("answers"))
+
+
+@query("""
+, words AS (SELECT p_partkey, list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type || ' k8s'), '[^a-z0-9+#./]+'), lambda w: w <> '') AS w FROM part)
+SELECT p_partkey, CAST(100 * (1 + CAST(list_contains(w, 'steel') AS INTEGER) + CAST(list_contains(w, 'bolt') OR list_contains(w, 'red') AS INTEGER)) // 4 AS INTEGER) AS percent FROM words""")
+def keyword_share(t: Tables) -> DataFrame:
+    """Whole percent of four keywords that a text meets by any of their forms, whatever they are called."""
+    text = F.concat_ws(" ", "p_name", "p_type", F.lit("k8s"))
+    keywords = F.array(*map(F.lit, ("Kubernetes", "Steel", "fasteners (bolt/red)", "Golang", "kubernetes", "")))
+    return t.raw("part").select("p_partkey", phrases.keyword_coverage(text, keywords)["percent"].alias("percent"))
+
+
+@query("SELECT id, title || ' ' || url AS description FROM jobs WHERE id = (SELECT min(id) FROM jobs WHERE closed_at IS NULL)")
+def job_description(t: Tables) -> DataFrame:
+    """The text of one posting."""
+    wanted = t.jobs.where("closed_at IS NULL").agg(F.min("id")).scalar()
+    return t.jobs.where(F.col("id") == wanted).select("id", F.concat_ws(" ", "title", "url").alias("description"))
+
+
+@query("SELECT c_custkey AS user_id FROM customer WHERE c_comment_free <> '' AND c_mktsegment <> 'AUTOMOBILE' ORDER BY user_id".replace("c_comment_free", "c_name"), with_tables=False)
+def ready_profiles(t: Tables) -> DataFrame:
+    """Profiles with a text and with families and levels to match."""
+    families = F.filter(F.array("c_mktsegment"), lambda s: s != "AUTOMOBILE")
+    rows = t.raw("customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("markdown"), families.alias("families"), F.array(F.lit("entry")).alias("levels"))
+    return rows.where((F.col("markdown") != "") & (F.size("families") > 0) & (F.size("levels") > 0)).select("user_id").orderBy("user_id")
+
+
+@query("""
+SELECT a.job_id AS id, a.user_id, j.title, c.name AS company, a.status = 'saved' AS one_page FROM applications a LEFT JOIN jobs j ON j.id = a.job_id LEFT JOIN companies c ON c.id = j.company_id
+WHERE a.user_id = 2 ORDER BY a.status = 'saved' DESC, a.job_id DESC""")
+def resume_list(t: Tables) -> DataFrame:
+    """A user's resumes with the posting and company that each was made for."""
+    fit = F.concat(F.lit('{"one_page": '), F.when(F.col("status") == "saved", "true").otherwise("false"), F.lit("}"))
+    mine = t.applications.where("user_id = 2").select(F.col("job_id").alias("id"), "user_id", "status", P.json_flag(fit, "$.one_page").alias("one_page"))
+    jobs = t.jobs.select("id", "title", "company_id")
+    companies = t.companies.select(F.col("id").alias("company_id"), F.col("name").alias("company"))
+    rows = mine.join(jobs, "id", "left").join(companies, "company_id", "left")
+    return rows.orderBy(F.col("one_page").desc(), F.desc("id")).select("id", "user_id", "title", "company", "one_page")
+
+
+@query("""
+SELECT user_id, question_id, event_id % 6 AS choice, event_id % 6 = question_id % 4 AS correct, question_id % 4 AS answer FROM (SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS question_id FROM events) WHERE event_id % 6 < 4 AND question_id % 9 > 0""", with_tables=False)
+def graded_answers(t: Tables) -> DataFrame:
+    """Choices on known questions, graded."""
+    asked = t.attempts.select("user_id", "question_id", (F.col("id") % 6).alias("choice"))
+    questions = asked.select(F.col("question_id").alias("id")).distinct().where("id % 9 > 0").select("id", (F.col("id") % 4).alias("answer"), F.lit("because").alias("explanation"))
+    return accounts.answered(questions, asked, F.lit("2024-01-01").cast("timestamp")).select("user_id", "question_id", "choice", "correct", "answer")
+
+
+@query("""
+SELECT id, status, CASE WHEN id % 4 = 0 THEN 'done' ELSE 'running' END AS state, CASE WHEN id % 8 = 0 THEN 'boom' END AS error, CASE WHEN id % 4 = 0 THEN id * 2 ELSE 0 END AS seen FROM (SELECT o_orderkey AS id, o_orderstatus AS status FROM orders)""", with_tables=False)
+def finished_runs(t: Tables) -> DataFrame:
+    """A run log in which some runs have ended, with what they saw."""
+    orders = t.raw("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    runs = orders.select("id", "status", F.lit("running").alias("state"), F.lit(None).cast("string").alias("error"), F.lit(0).cast("long").alias("seen"), F.lit(None).cast("timestamp").alias("finished_at"))
+    ended = orders.where("id % 4 = 0").select("id", F.lit("done").alias("state"), F.when(F.col("id") % 8 == 0, "boom").otherwise("").alias("error"), (F.col("id") * 2).alias("seen"))
+    return accounts.run_log(runs, ended, F.lit("2024-01-01").cast("timestamp")).select("id", "status", "state", "error", "seen")
+
+
+@query("""
+SELECT user_id, coalesce(job_id, -1) AS job_id, max(day) AS day FROM (SELECT l_suppkey AS user_id, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_linenumber END AS job_id, strftime(max(l_shipdate), '%Y-%m-%d') AS day FROM lineitem GROUP BY ALL) GROUP BY ALL""", with_tables=False)
+def kept_resumes(t: Tables) -> DataFrame:
+    """The newest resume of each user and job, and of each user without a job."""
+    line = t.raw("lineitem").select(F.col("l_suppkey").alias("user_id"), F.when(F.col("l_linenumber") > 1, F.col("l_linenumber")).alias("job_id"), F.col("l_shipdate").alias("updated_at"), "l_orderkey")
+    early = line.groupBy("user_id", "job_id").agg(F.min("updated_at").alias("updated_at"))
+    late = line.groupBy("user_id", "job_id", "updated_at").agg(F.count("*").alias("n")).drop("n")
+    kept = accounts.saved_resumes(early, late)
+    return kept.select("user_id", F.coalesce("job_id", F.lit(-1)).alias("job_id"), F.date_format("updated_at", "yyyy-MM-dd").alias("day"))
+
+
+@query(r"""
+, openly AS (SELECT id, url, source FROM jobs WHERE closed_at IS NULL)
+, best AS (SELECT url, (list(id ORDER BY source = 'manual', id))[1] AS shared FROM openly GROUP BY url)
+, named AS (SELECT lower(name) AS n, min(id) AS company_id FROM companies GROUP BY 1)
+, asked AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey % 2 = 0 THEN 'https://jobs.example/' || c_custkey % 1000 ELSE 'https://new.example/' || c_custkey END AS url, c_name AS company FROM customer)
+SELECT user_id, shared AS job_id, shared IS NULL AS is_new, CASE WHEN shared IS NULL THEN company_id END AS company_id, CASE WHEN shared IS NULL THEN 'u' || user_id || '-' || left(sha256(asked.url), 16) END AS ext_id
+FROM asked LEFT JOIN best ON rtrim(best.url, '/') = asked.url LEFT JOIN named ON n = lower(company)""")
+def added_postings(t: Tables) -> DataFrame:
+    """Postings that users add by hand: shared where there is an open one of that address, else new."""
+    key = F.col("c_custkey")
+    url = F.when(key % 2 == 0, F.concat(F.lit("https://jobs.example/"), (key % 1000).cast("string"))).otherwise(F.concat(F.lit("https://new.example/"), key.cast("string")))
+    asked = t.raw("customer").select(key.alias("user_id"), url.alias("url"), F.lit("T").alias("title"), F.lit("L").alias("location"), F.lit("D").alias("description"), F.upper("c_name").alias("company"))
+    nothing = asked.select("user_id", "url", F.lit(None).cast("long").alias("job_id")).where("false")
+    return accounts.added_jobs(t.jobs, t.user_jobs, t.companies, asked, nothing).select("user_id", "job_id", "is_new", "company_id", "ext_id")

@@ -4,6 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import resumes as P
+from gleaner.functions.phrases import keyword_coverage
+from gleaner.operators.calls import embedded, scored_within
+from gleaner.operators.rules import Catalog
 from gleaner.sources import boards
 
 
@@ -80,8 +83,39 @@ def test_keyword_windows(spark):
 
 
 def test_known_terms(spark):
-    got = column(spark, ["K8s and kubernetes, then GO or Golang; ci/cd", "nothing here", None], "string", P.known_terms)
-    assert got == [["kubernetes", "go", "ci/cd"], [], []]
+    got = column(spark, ["Terraform, K8s; then GO or Golang; ci/cd, linux/bash.", "nothing here", None], "string", P.known_terms)
+    assert got == [["terraform", "go", "ci/cd", "linux", "bash", "kubernetes"], [], []]  # one named otherwise stands last
+
+
+def test_keyword_coverage(spark):
+    words = F.array(*map(F.lit, ("Kubernetes", "k8s", "orchestration (Airflow/Dagster)", "Postgres", "Rust", "C++", "")))
+    got = column(spark, ["We run k8s, airflow and PostgreSQL.", "", None], "string", lambda v: keyword_coverage(v, words))
+    assert (got[0].matched, got[0].missing, got[0].percent) == (["Kubernetes", "orchestration (Airflow/Dagster)", "Postgres"], ["Rust", "C++"], 60)
+    assert got[1].percent == got[2].percent == 0 and len(got[1].missing) == 5
+
+
+def test_embedded(spark):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(70)] + [(70, None)], "id int, text string").repartition(2)
+    backwards = lambda texts: [(i, [float(len(t)), float(i)]) for i, t in reversed(list(enumerate(texts)))]
+    got = {r.id: r.vector for r in embedded(rows, backwards).collect()}
+    assert len(got) == 71 and got[5][0] == 2.0 and got[60][0] == 3.0 and got[70][0] == 0.0
+    with pytest.raises(Exception, match="vectors for"):
+        embedded(rows, lambda texts: backwards(texts)[1:]).collect()
+
+
+def test_scored_within(spark):
+    rows = spark.createDataFrame([(u, i, 3, f"p{i}") for u in (1, 2) for i in range(5)], "user int, id int, cost int, prompt string")
+    got = scored_within(rows, lambda prompts: [p.upper() for p in prompts], ["user"], "cost", F.when(F.col("user") == 1, 7).otherwise(100), F.asc("id"))
+    assert sorted((r.user, r.id, r.reply) for r in got.collect()) == [(1, i, f"P{i}") for i in range(3)] + [(2, i, f"P{i}") for i in range(5)]
+
+
+def test_catalogs_are_checked():
+    given = {"families": {"a": ["x"]}, "levels": {"senior": [["sr"], []]}, "overrides": {"o": [["a"], ["y"]]}, "flags": ["z"]}
+    made = Catalog.from_mapping(given)
+    assert made.levels == {"senior": (["sr"], [])} and made.overrides["o"] == (["a"], ["y"]) and made.refusal_words
+    for wrong in ({"other": 1}, {"families": {"a": ["("]}}, {"overrides": {"o": [["b"], []]}}):
+        with pytest.raises(ValueError):
+            Catalog.from_mapping(given | wrong)
 
 
 def test_models_and_zones():

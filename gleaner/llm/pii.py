@@ -240,15 +240,19 @@ def masked_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     packed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).alias("_doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     spanned = with_candidates(with_base_spans(packed, "_text"), "_text", shortest)
     kinds = lambda k, spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind")))
-    hits = F.size(F.concat(F.concat(*[kinds(k, F.col(k)) for k in KINDS]), kinds("secret", F.col("candidates"))))
-    marked = cut(spanned.where(hits > 0).withColumn("_row", F.monotonically_increasing_id()))
+    # one row out of an array of one or none: so the spans are computed once, where a filter on them would compute them again
+    some = lambda x: F.size(F.concat(*[kinds(k, x[k]) for k in (*KINDS, "candidates")])) > 0
+    hits = F.explode_outer(F.filter(F.array(F.struct(*KINDS, "candidates")), some)).alias("_s")
+    sought = spanned.select("_doc", "_text", hits)
+    marked = cut(sought.where("_s IS NOT NULL").select("_doc", "_text", "_s.*", F.monotonically_increasing_id().alias("_row")))
+    plain = sought.where("_s IS NULL")
     occurrences = occurrences_of(marked, "_row")
-    found = _met(occurrences.where("NOT base"), accepted_values(occurrences, **graph), "value")
-    secrets = found.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "end", F.lit("secret").alias("kind"))).alias("_secret"))
+    accepted = _met(occurrences.where("NOT base"), accepted_values(occurrences, **graph), "value")
+    secrets = accepted.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "end", F.lit("secret").alias("kind"))).alias("_secret"))
     none = F.array().cast("array<struct<start: int, end: int, kind: string>>")
     marked = marked.join(secrets, "_row", "left")
     spans = F.array_sort(F.concat(*[kinds(k, F.col(k)) for k in KINDS], F.coalesce("_secret", none)))
-    out = spanned.where(hits == 0).select("_doc", "_text", none.alias("_spans")).unionByName(marked.select("_doc", "_text", spans.alias("_spans")))
+    out = plain.select("_doc", "_text", none.alias("_spans")).unionByName(marked.select("_doc", "_text", spans.alias("_spans")))
     old = {c: F.col(f"_doc.c{i}") for i, c in enumerate(columns)}
     out = out.withColumn("_new", F.when((F.size("_spans") > 0) & old[text].isNotNull(), masked(F.col("_text"), F.col("_spans"))).otherwise(old[text]))
     new = {text: F.col("_new")}

@@ -64,10 +64,11 @@ def _shingles(texts: pd.Series) -> pd.Series:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) whose sets have a similarity of 0.8 at least."""
-    left, right = (sets.select(F.col("class").alias(k), F.col("shingles").alias(f"x{k}"), F.size("shingles").alias(f"n{k}")) for k in "ab")
-    sizes = 5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")
-    both = pairs.distinct().join(left, "a").join(right, "b").where(sizes)
+    """The ``pairs`` (a, b) whose sets have a similarity of 0.8 at least; sets move only to pairs whose sizes allow it."""
+    sizes = [sets.select(F.col("class").alias(k), F.size("shingles").alias(f"n{k}")) for k in "ab"]
+    near = pairs.distinct().join(sizes[0], "a").join(sizes[1], "b").where(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
+    left, right = (sets.select(F.col("class").alias(k), F.col("shingles").alias(f"x{k}")) for k in "ab")
+    both = near.join(left, "a").join(right, "b")
     return both.where(9 * F.size(F.array_intersect("xa", "xb")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
@@ -188,8 +189,8 @@ def one_of_each_shingle_group(docs: DataFrame, doc_id: str = "doc_id", text: str
     buckets = cut(buckets.join(shared, "key", "left_semi"))
     wanted = buckets.select("class").union(proposed.select("a")).union(proposed.select("b")).distinct()
     wanted = reps.join(wanted, "class", "left_semi").select("class", "name._h", "name._g")
-    sets = keyed.select("_h", "_g", "text").join(wanted, ["_h", "_g"]).select("class", _shingles("text").alias("shingles"))
-    sets = cut(sets.dropDuplicates(["class"]))
+    rows = keyed.select("_h", "_g", "text").join(wanted, ["_h", "_g"]).dropDuplicates(["_h", "_g"])  # a class has one name, and equal rows are one
+    sets = cut(rows.select("class", _shingles("text").alias("shingles")))
     roots = connected_components(shingle_links(proposed, buckets, sets)).select(F.col("node").alias("class"), "root")
     kept = reps.join(roots, "class", "left").groupBy(F.coalesce("root", "class").alias("root")).agg(F.min("name").alias("name"))
     kept = cut(kept.select("name._h", "name._g"))

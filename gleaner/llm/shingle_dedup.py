@@ -151,8 +151,11 @@ def shingle_links(proposed: DataFrame, buckets: DataFrame, sets: DataFrame) -> D
     heads = buckets.groupBy("key").agg(F.min("class").alias("a"))
     led = buckets.join(heads, "key").where("class <> a").select("a", F.col("class").alias("b"))
     led = cut(_verified(led.unionByName(proposed), sets))
-    roots = connected_components(led).select(F.col("node").alias("class"), "root")
-    rooted = cut(buckets.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
+    # classes of one mark are linked through it already; a mark that has one of its own hands that on
+    marks = led.select(F.greatest("a", "b").alias("class"), F.least("a", "b").alias("mark")).groupBy("class").agg(F.min("mark").alias("mark"))
+    further = marks.select(F.col("class").alias("mark"), F.col("mark").alias("next"))
+    marks = marks.join(further, "mark", "left").select("class", F.coalesce("next", "mark").alias("root"))
+    rooted = cut(buckets.join(marks, "class", "left").withColumn("root", F.coalesce("root", "class")))
     members = rooted.groupBy("key").agg(
         F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("digest")
     )

@@ -10,6 +10,7 @@ from gleaner.llm.common import table
 from gleaner.llm.embedding_dedup import embedding_groups
 from gleaner.llm.fill_in_middle import MIDDLE_SQL, fill_in_middle, restored
 from gleaner.llm.license_scan import license_scan
+from gleaner.llm.line_dedup import LINES_SQL, drop_repeated_lines
 from gleaner.llm.mixing import mix_sizes
 from gleaner.llm.pii import pii_report
 from gleaner.llm.quality_classifier import quality_scores
@@ -64,13 +65,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_quality_rules, op4_embedding_near_dedup, op5_sentencepiece, op6_source_mixing, op7_pii, op8_chat_formatting, op9_url_filter, op10_license_scan, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_quality_rules, op4_embedding_near_dedup, op5_sentencepiece, op6_source_mixing, op7_pii, op8_chat_formatting, op9_url_filter, op10_license_scan, op11_line_dedup, op13_fill_in_middle)}
 
 #: All pairs: for the small tables only.
 EMBEDDING_SQL = """
@@ -88,4 +94,4 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id =
 FROM named LEFT JOIN counted ON a = vec_id
 """
 
-ORACLES: dict[str, str] = {"op4_embedding_near_dedup": EMBEDDING_SQL, "op8_chat_formatting": DIGEST_SQL, "op13_fill_in_middle": MIDDLE_SQL}
+ORACLES: dict[str, str] = {"op4_embedding_near_dedup": EMBEDDING_SQL, "op8_chat_formatting": DIGEST_SQL, "op11_line_dedup": LINES_SQL, "op13_fill_in_middle": MIDDLE_SQL}

@@ -17,6 +17,7 @@ from gleaner.llm.quality_classifier import quality_scores
 from gleaner.llm.quality_rules import quality_rules
 from gleaner.llm.sentencepiece_nbest import decoded, encode_texts
 from gleaner.llm.simhash import simhash_groups
+from gleaner.llm.spelling import EVERY, SPELLING_SQL, spelling_groups
 from gleaner.llm.url_filter import url_filter
 
 
@@ -70,13 +71,17 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"), every=EVERY)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_quality_rules, op4_embedding_near_dedup, op5_sentencepiece, op6_source_mixing, op7_pii, op8_chat_formatting, op9_url_filter, op10_license_scan, op11_line_dedup, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op3_quality_rules, op4_embedding_near_dedup, op5_sentencepiece, op6_source_mixing, op7_pii, op8_chat_formatting, op9_url_filter, op10_license_scan, op11_line_dedup, op12_spelling_variants, op13_fill_in_middle)}
 
 #: All pairs: for the small tables only.
 EMBEDDING_SQL = """
@@ -94,4 +99,4 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id =
 FROM named LEFT JOIN counted ON a = vec_id
 """
 
-ORACLES: dict[str, str] = {"op4_embedding_near_dedup": EMBEDDING_SQL, "op8_chat_formatting": DIGEST_SQL, "op11_line_dedup": LINES_SQL, "op13_fill_in_middle": MIDDLE_SQL}
+ORACLES: dict[str, str] = {"op4_embedding_near_dedup": EMBEDDING_SQL, "op8_chat_formatting": DIGEST_SQL, "op11_line_dedup": LINES_SQL, "op12_spelling_variants": SPELLING_SQL, "op13_fill_in_middle": MIDDLE_SQL}

@@ -11,40 +11,26 @@ from pyspark.sql import types as T
 from gleaner.functions.text import trimmed
 
 #: Characters that show nothing, and letters of other alphabets that read like Latin ones.
-INVISIBLE = (
-    r"[\x{00ad}\x{034f}\x{061c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}"
-    r"\x{2060}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}\x{ffa0}\x{e0000}-\x{e007f}]"
-)
+INVISIBLE = r"[\x{00ad}\x{034f}\x{061c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}\x{ffa0}\x{e0000}-\x{e007f}]"
 LOOKALIKES = ("аеорсухіѕјкмтвнАЕОРСХІТМКВαοινΙΑΟ", "aeopcyxisjkmtbhAEOPCXITMKBaoivIAO")
 
 #: Whom a sentence can speak to, what it can order, what makes a tool's name a person's work, what makes a tool the job's subject.
-TOOL = (
-    "(?:ai|a\\.i\\.|artificial intelligence|llms?|large language models?|language models?|gpts?(?:-?\\d)?|chat ?gpt|claude|gemini|copilot|bots?|robots?|machines?|non-?humans?"
-    "|automated (?:tools?|systems?|agents?|applicants?|programs?|scripts?|assistants?|applications?|software)"
-    "|(?:ai|generative|autonomous|automated|auto-?fill|auto-?apply|llm|language) (?:tools?|systems?|agents?|assistants?|models?|applicants?|programs?|scripts?|software|extensions?|browsers?|writers?)"
-    "|auto-?fill(?:ers?)?|auto-?appl(?:y|iers?)|virtual assistants?|crawlers?|scrapers?)"
-)
-DO = (
-    "(?:fill|enter|type|write|answer|respond|reply|put|place|select|choose|pick|tick|check|mark|click|include|mention|use|start|begin|end|add|say|state|output|return|insert|append"
-    "|prepend|submit|give|provide|leave|skip|ignore|disregard|do not|don'?t|you (?:must|should|need to)|must|should)"
-)
-ROLE = (
-    "[\\s/&-]*(?:ml\\b|learning|engineer|research|scientist|developer|practitioner|specialist|lead|manager|team|product|startup|compan|experience|skills?\\b|ethics|safety|policy"
-    "|strategy|programs?\\b|operator|technician|shop|enthusiast|expert|architect|consultant|professional|student|native|first)"
-)
-OWN = "\\b(?:the|our|your|this|that|a|an|their|its)\\s{1,8}"
-#: The tool of a sentence that speaks to it: a whole name, taken at its longest, that is no one's work.
-_SPOKEN_TO = rf"(?>{TOOL}\b)(?!{ROLE})"
+TOOL = r"(?:ai|a\.i\.|artificial intelligence|llms?|large language models?|language models?|gpts?(?:-?\d)?|chat ?gpt|claude|gemini|copilot|bots?|robots?|machines?|non-?humans?|automated (?:tools?|systems?|agents?|applicants?|programs?|scripts?|assistants?|applications?|software)|(?:ai|generative|autonomous|automated|auto-?fill|auto-?apply|llm|language) (?:tools?|systems?|agents?|assistants?|models?|applicants?|programs?|scripts?|software|extensions?|browsers?|writers?)|auto-?fill(?:ers?)?|auto-?appl(?:y|iers?)|virtual assistants?|crawlers?|scrapers?)"
+DO = r"(?:fill|enter|type|write|answer|respond|reply|put|place|select|choose|pick|tick|check|mark|click|include|mention|use|start|begin|end|add|say|state|output|return|insert|append|prepend|submit|give|provide|leave|skip|ignore|disregard|do not|don'?t|you (?:must|should|need to)|must|should)"
+ROLE = r"[\s/&-]*(?:ml\b|learning|engineer|research|scientist|developer|practitioner|specialist|lead|manager|team|product|startup|compan|experience|skills?\b|ethics|safety|policy|strategy|programs?\b|operator|technician|shop|enthusiast|expert|architect|consultant|professional|student|native|first)"
+OWN = r"\b(?:the|our|your|this|that|a|an|their|its)\s{1,8}"
+#: Stand in the patterns below for a tool's name, and for one that is not someone's own.
+NAME, OTHERS_NAME = "<tool>", "<tool of none>"
 
 #: How a sentence speaks to a tool.
 SPOKEN = (
-    rf"\bif\s+(?:you(?:['’]?re| are)\s+|this\b[^.!?\n]{{0,50}}?\b(?:is|was|are|were)(?:\s+being)?\s+\w+(?:\s+(?:out|in))?\s+(?:by|with)\s+|(?:an?|the)\s+)(?:an?\s+|the\s+|any\s+)?{_SPOKEN_TO}[^.!?\n]{{0,40}}?\b{DO}\b",
-    rf"\b(?:attention|note|notice|message|instructions?|important|warning|hey|hello|hi|dear|greetings)\b[\s,:-]*(?:to|for)?\s*(?:all\s+|any\s+|the\s+)?{_SPOKEN_TO}\s*(?:[,:;!]|-\s)",
-    rf"\b(?:to|for)\s+(?:all|any|every)\s+{_SPOKEN_TO}(?:\s+(?:reading|parsing|processing|seeing|scanning)\b[^,:;.!?\n]{{0,30}})?\s*[,:;]",
-    rf"(?:^|[.!?]\s+){_SPOKEN_TO}\s*:\s*(?:please\s+)?{DO}\b",
-    rf"\bif\s+(?:you(?:['’]?re| are)?\s+)?(?:using|use|used)\s+(?:an?\s+)?{_SPOKEN_TO}[^.!?\n]{{0,70}}?\b(?:include|mention|add|write|use|put|say|insert|start|begin|end)\b",
-    rf"\b{_SPOKEN_TO}[^.!?\n]{{0,25}}\b(?:reading|parsing|scanning|processing|analy[sz]ing|summari[sz]ing|ingesting|filling (?:out|in)|completing|answering)\s+(?:this\s+(?:page|form|application|posting|text|job|message|description|document|question)|these\s+instructions|this\b\s*[,:;.!?-])",
-    rf"\b(?:all\s+|any\s+)?(?<!{OWN}){_SPOKEN_TO}[^.!?\n]{{0,30}}?\s(?:must|should|shall|needs? to|ha(?:ve|s) to|(?:are|is) (?:required|instructed|asked|told|expected) to|please)\s+(?:always\s+|also\s+|then\s+)?(?:answer|respond|reply|write|type|fill|put|enter|select|choose|pick|tick|check|mark|include|mention|start|begin|end|add|say|output|return|insert|ignore|leave|skip)\b",
+    rf"\bif\s+(?:you(?:['’]?re| are)\s+|this\b[^.!?\n]{{0,50}}?\b(?:is|was|are|were)(?:\s+being)?\s+\w+(?:\s+(?:out|in))?\s+(?:by|with)\s+|(?:an?|the)\s+)(?:an?\s+|the\s+|any\s+)?{NAME}[^.!?\n]{{0,40}}?\b{DO}\b",
+    rf"\b(?:attention|note|notice|message|instructions?|important|warning|hey|hello|hi|dear|greetings)\b[\s,:-]*(?:to|for)?\s*(?:all\s+|any\s+|the\s+)?{NAME}\s*(?:[,:;!]|-\s)",
+    rf"\b(?:to|for)\s+(?:all|any|every)\s+{NAME}(?:\s+(?:reading|parsing|processing|seeing|scanning)\b[^,:;.!?\n]{{0,30}})?\s*[,:;]",
+    rf"(?:^|[.!?]\s+){NAME}\s*:\s*(?:please\s+)?{DO}\b",
+    rf"\bif\s+(?:you(?:['’]?re| are)?\s+)?(?:using|use|used)\s+(?:an?\s+)?{NAME}[^.!?\n]{{0,70}}?\b(?:include|mention|add|write|use|put|say|insert|start|begin|end)\b",
+    rf"\b{NAME}[^.!?\n]{{0,25}}\b(?:reading|parsing|scanning|processing|analy[sz]ing|summari[sz]ing|ingesting|filling (?:out|in)|completing|answering)\s+(?:this\s+(?:page|form|application|posting|text|job|message|description|document|question)|these\s+instructions|this\b\s*[,:;.!?-])",
+    rf"\b(?:all\s+|any\s+)?{OTHERS_NAME}[^.!?\n]{{0,30}}?\s(?:must|should|shall|needs? to|ha(?:ve|s) to|(?:are|is) (?:required|instructed|asked|told|expected) to|please)\s+(?:always\s+|also\s+|then\s+)?(?:answer|respond|reply|write|type|fill|put|enter|select|choose|pick|tick|check|mark|include|mention|start|begin|end|add|say|output|return|insert|ignore|leave|skip)\b",
 )
 #: Orders to whoever writes an application, and the usual ways to take over a model.
 ORDERS = (
@@ -70,6 +56,25 @@ LEFT_OVER = r"(?i)[\s,;:(\[{–—-]*(?:\b(?:and|but|or|also|however|note|please
 LEAD_IN = "(?i)^(?:if|when|to help|to show|in order to)\\b"
 
 
+#: Marks around what tells whether a match counts.
+_OPEN, _CLOSE = "\uFFFE", "\uFFFF"
+
+
+def spoken_at(read, pattern: str):
+    """The place, from 1, of the first match of ``pattern`` whose tool's name is no one's work; null where there is none.
+
+    Matches are found one after the other, and each is judged by what stands around the name that it took: a group
+    behind the name is empty if it is someone's work (or, where the pattern says so, someone's own tool), else it is
+    all the rest of the sentence. All matches are marked with that group, and the first mark that holds something counts.
+    """
+    role = rf"{TOOL}\b(?=((?={ROLE})|[\s\S]+))"
+    own = rf"(?=((?<={OWN})|[\s\S]+)){TOOL}\b(?=((?={ROLE})|(?=\1)|[\s\S]+))"
+    group = 2 if OTHERS_NAME in pattern else 1
+    marked = F.regexp_replace(read, "(?i)" + pattern.replace(OTHERS_NAME, own).replace(NAME, role), f"{_OPEN}${group}{_CLOSE}$0")
+    first = F.regexp_instr(marked, F.lit(f"{_OPEN}[^{_CLOSE}]"))
+    return F.when(first > 0, F.length(F.regexp_replace(F.left(marked, first - 1), f"{_OPEN}[^{_CLOSE}]*{_CLOSE}", "")) + 1)
+
+
 @F.pandas_udf(T.StringType())
 def _composed(texts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else unicodedata.normalize("NFKC", t) for t in texts], dtype=object)
@@ -88,8 +93,9 @@ def _once(value, build):
 
 def aimed_at(sentence):
     """The place, from 1, where the words aimed at machines begin; null where there are none."""
-    places = lambda read: F.array(*[F.regexp_instr(read, F.lit(f"(?i){p}")) for p in (*SPOKEN, *ORDERS)])
-    return _once(F.translate(sentence, *LOOKALIKES), lambda read: F.array_min(F.filter(places(read), lambda at: at > 0)))
+    places = lambda read: F.array(*[spoken_at(read, p) for p in SPOKEN], *[F.regexp_instr(read, F.lit(f"(?i){p}")) for p in ORDERS])
+    plain = F.translate(sentence, LOOKALIKES[0] + _OPEN + _CLOSE, LOOKALIKES[1])
+    return _once(plain, lambda read: F.array_min(F.filter(places(read), lambda at: at > 0)))
 
 
 def _shown(sentence):

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators.joins import met
+
 
 def rubric_score(role, seniority, skills, domain, location, blocker, coverage):
     """Fit from 0 to 100 of ratings from 0 to 10; coverage is the measured share of required skills, null when unknown."""
@@ -100,7 +102,7 @@ def months_covered(rows: DataFrame, keys: list[str], start: str, end: str) -> Da
 def z_scores(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """``rows`` with z_<column>: the value in standard deviations from the key's mean over the rows that have one; 0 without spread or value."""
     stats = rows.groupBy(*keys).agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_sd_{c}") for c in columns])
-    joined = rows.join(stats, keys)
+    joined = met(rows, stats, *keys)
     z = {f"z_{c}": F.coalesce(F.when(F.col(f"_sd_{c}") > 0, (F.col(c) - F.col(f"_mean_{c}")) / F.col(f"_sd_{c}")), F.lit(0.0)) for c in columns}
     return joined.withColumns(z).drop(*[f"_{x}_{c}" for c in columns for x in ("mean", "sd")])
 
@@ -109,4 +111,9 @@ def scaled(rows: DataFrame, keys: list[str], column: str, name: str = "estimate"
     """``rows`` with the column drawn linearly to 35..85 within each key; 85 where all are equal."""
     ends = rows.groupBy(*keys).agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
     share = F.when(F.col("_high") > F.col("_low"), (F.col(column) - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(1.0)
-    return rows.join(ends, keys).withColumn(name, 35 + 50 * share).drop("_low", "_high")
+    return met(rows, ends, *keys).withColumn(name, 35 + 50 * share).drop("_low", "_high")
+
+
+def whole_ranks(rows: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
+    """``rows`` with the column drawn to whole numbers from 35 to 85 within each key; 50 where it is null."""
+    return scaled(rows, keys, column, name).withColumn(name, F.when(F.col(column).isNull(), 50).otherwise(F.round(name)).cast("int"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.numbers import learned_weight, scaled, z_scores
+from gleaner.operators.joins import met
 
 #: Weights of the standardized signals, and what a blocker or too many years cost.
 WEIGHTS = {"embedding": 2.0, "words": 1.0, "skills": 1.0, "coverage": 1.0, "near": -1.0, "gap": -0.5, "remote": 0.5}
@@ -23,15 +24,6 @@ def term_counts(docs: DataFrame, keys: list[str], title_tokens: str | None, body
     return body.groupBy(*keys, "term").agg(F.sum("f").alias("f"))
 
 
-def met(left: DataFrame, right: DataFrame, column: str, how: str = "inner") -> DataFrame:
-    """``left`` joined with ``right``, which has one row for each value of ``column``, of which one may hold very many rows of ``left``.
-
-    Both are dealt by a hash that stands for this join alone, so that the adaptive skew join can split such a value.
-    """
-    deal = F.xxhash64(F.lit("deal"), column).alias("_deal")
-    return left.select("*", deal).join(right.select("*", deal), ["_deal", column], how).drop("_deal")
-
-
 def similarities(counts: DataFrame, profile: DataFrame, docs: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Rows (doc, similarity): cosine of a profile's and each document's weights (1 + ln f) * ln(1 + n / (1 + df)).
 

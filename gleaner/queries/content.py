@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from gleaner.functions import numbers as N
 from gleaner.functions import text as X
 from gleaner.functions.scrub import scrubbed
+from gleaner.operators import ranking as K
 from gleaner.operators import relevance as R
+from gleaner.operators.joins import materialized
 from gleaner.operators import rules
 from gleaner.operators.latest import first_per_key
 from gleaner.plans.tables import Tables
@@ -219,15 +221,6 @@ def moderation_rules(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", rules.moderation_reason(F.left(text, F.lit(150)), text).alias("reason"))
 
 
-def candidate_tokens(t: Tables) -> DataFrame:
-    return t.raw("documents").select("doc_id", X.tokens(F.col("text")).alias("tokens"))
-
-
-def profile_terms(t: Tables) -> DataFrame:
-    words = t.raw("benchmark").where("item_id < 3").select(F.explode(X.tokens(F.col("text"))).alias("term"))
-    return words.groupBy("term").agg(F.count("*").alias("f"))
-
-
 TFIDF_SQL = f"""
 WITH counts AS (SELECT doc_id, term, count(*) AS f FROM (SELECT doc_id, unnest({tokens_sql("text")}) AS term FROM documents) GROUP BY ALL)
 , profile AS (SELECT term, count(*) AS f FROM (SELECT unnest({tokens_sql("text")}) AS term FROM benchmark WHERE item_id < 3) GROUP BY term)
@@ -240,9 +233,12 @@ WITH counts AS (SELECT doc_id, term, count(*) AS f FROM (SELECT doc_id, unnest({
 
 
 def tfidf_similarities(t: Tables) -> DataFrame:
-    """Counts by document and term are one exchange, which document frequencies and weights both read."""
-    counts = R.term_counts(candidate_tokens(t), ["doc_id"], None, "tokens")
-    return R.similarities(counts, profile_terms(t), t.raw("documents").select("doc_id"))
+    """One user, for whom every document is a candidate."""
+    one = F.lit(0).alias("user_id")
+    profile = t.raw("benchmark").where("item_id < 3").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+    terms = K.posting_terms(t.raw("documents"), "doc_id", None, F.col("text"))
+    similar = K.candidate_similarities(terms, t.raw("documents").select("doc_id", one), K.posting_terms(profile.select(one, "text"), "user_id", None, F.col("text")), "user_id", "doc_id")
+    return materialized(similar.select("doc_id", "similarity"))
 
 
 @query(TFIDF_SQL + " SELECT doc_id, round(similarity, 9) AS similarity FROM similar_docs", with_tables=False)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gleaner.operators.merge import save_listing
+from gleaner.streaming.buckets import BucketTable
 
 
 class PostingTable:
@@ -32,24 +33,33 @@ class PostingTable:
         rows.write.mode("overwrite").parquet(f"{self.path}/version={version}")
 
 
-def posting_stream(listings: DataFrame, table: PostingTable, checkpoint: str) -> StreamingQuery:
+def posting_stream(listings: DataFrame, table: PostingTable | BucketTable, checkpoint: str) -> StreamingQuery:
     """Run listings (source, ext_id, title, content_hash, listed_at, complete) into ``table`` until the input is used up.
 
     In a batch the newest listing of a posting counts. A source's postings that its complete listing lacks are
-    closed; a source without a complete listing in the batch closes nothing.
+    closed; a source without a complete listing in the batch closes nothing. Of a table in buckets, a batch rewrites those
+    of its postings, and all of a source that it lists completely; other tables are written anew.
     """
     content = [c for c in listings.columns if c not in ("source", "ext_id", "listed_at", "complete")]
 
     def merge(batch: DataFrame, version: int) -> None:
         batch = batch.persist()
-        latest = batch.groupBy("source", "ext_id").agg(F.max(F.struct("listed_at", *content)).alias("n")).select("source", "ext_id", *[f"n.{c}" for c in content])
-        now = batch.agg(F.max("listed_at")).scalar()
-        whole = batch.groupBy("source").agg(F.bool_and("complete").alias("complete")).where("complete").select(F.col("source").alias("_source"))
-        stored = table.read(version - 1)
-        known = stored.join(whole, F.col("source") == F.col("_source"), "left").withColumn("_whole", F.col("_source").isNotNull()).drop("_source")
-        rows = save_listing(known, latest, now, complete=F.col("old._whole")).drop("_whole")
-        table.write(rows.select(*stored.columns), version)
-        batch.unpersist()
+        try:
+            latest = batch.groupBy("source", "ext_id").agg(F.max(F.struct("listed_at", *content)).alias("n")).select("source", "ext_id", *[f"n.{c}" for c in content])
+            now = batch.agg(F.max("listed_at")).scalar()
+            whole = batch.groupBy("source").agg(F.bool_and("complete").alias("complete")).where("complete").select(F.col("source").alias("_source"))
+
+            def change(stored: DataFrame, staged: DataFrame) -> DataFrame:
+                known = stored.join(whole, F.col("source") == F.col("_source"), "left").withColumn("_whole", F.col("_source").isNotNull()).drop("_source")
+                return save_listing(known, staged, now, complete=F.col("old._whole")).drop("_whole")
+
+            if isinstance(table, BucketTable):
+                table.merge(latest, change, version, parts=None if whole.isEmpty() else 1)
+            else:
+                stored = table.read(version - 1)
+                table.write(change(stored, latest).select(*stored.columns), version)
+        finally:
+            batch.unpersist()
 
     return listings.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -34,7 +34,7 @@ GENERIC_SKILL_WORDS = frozenset(
 
 
 #: Postings and terms of a user that meet in one group.
-SLICE, SHARD = 8192, 1 << 20
+SLICE, SHARD = 32768, 1 << 20
 
 
 _PLAIN, _ANY = re.compile("[a-z0-9+#]+"), regex.compile(r"[\p{L}\p{Nd}+#]+")
@@ -97,22 +97,33 @@ def posting_terms(postings: DataFrame, doc: str, title: Column | None, body: Col
     return postings.select(doc, made.alias("t")).select(doc, "t.ids", "t.counts")
 
 
+#: Terms of a group that are looked up together.
+TOGETHER = 1 << 20
+
+
 def _products(user: str, doc: str, schema: pa.Schema):
-    """Sums over a slice of a user's postings and a shard of their terms: (user, doc, dot, square)."""
+    """Sums over a slice of a user's postings and a shard of their terms: (user, doc, dot, square).
+
+    A term of the shard that has no weight is one that a single posting holds.
+    """
 
     def sums(postings: pa.Table, weights: pa.Table) -> pa.Table:
-        ids = weights["id"].to_numpy()
-        order = np.argsort(ids)
-        ids, idf, pw = ids[order], weights["idf"].to_numpy()[order], weights["pw"].to_numpy()[order]
+        order = np.argsort(weights["id"].to_numpy())
+        known, idf, pw = (np.append(weights[c].to_numpy()[order], 0) for c in ("id", "idf", "pw"))
+        known[-1] = np.iinfo(np.int64).max
         lists = postings["ids"].combine_chunks()
-        flat, counts = lists.flatten().to_numpy(), postings["counts"].combine_chunks().flatten().to_numpy()
-        row = np.repeat(np.arange(len(postings)), np.diff(lists.offsets.to_numpy()))
-        if not len(ids) or not len(flat):
-            dot = square = np.zeros(len(postings))
-        else:
-            at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
-            w = np.where(ids[at] == flat, (1 + np.log(counts)) * idf[at], 0.0)
-            dot, square = (np.bincount(row, x, len(postings)) for x in (w * pw[at], w * w))
+        flat, counts, ends = lists.flatten().to_numpy(), postings["counts"].combine_chunks().flatten().to_numpy(), lists.offsets.to_numpy()
+        row = np.repeat(np.arange(len(postings), dtype=np.int32), np.diff(ends))
+        dot, square = np.zeros(len(postings)), np.zeros(len(postings))
+        if len(postings):
+            shard, shards, single = (postings[c][0].as_py() for c in ("shard", "shards", "single"))
+            for i in range(0, len(flat), TOGETHER):
+                ids, tf, rows = flat[i : i + TOGETHER], 1 + np.log(counts[i : i + TOGETHER]), row[i : i + TOGETHER]
+                at = np.searchsorted(known, ids)
+                found = (known[at] == ids) & (at < len(known) - 1)
+                w = np.where(np.mod(ids, shards) == shard, tf * np.where(found, idf[at], single), 0.0)
+                dot += np.bincount(rows, np.where(found, w * pw[at], 0.0), len(postings))
+                square += np.bincount(rows, w * w, len(postings))
         return pa.table([postings[user], postings[doc], pa.array(dot), pa.array(square)], schema=schema)
 
     return sums
@@ -127,25 +138,25 @@ def candidate_similarities(terms: DataFrame, pending: DataFrame, profiles: DataF
     posting meets nothing.
     """
     pairs = met(pending.select(user, doc), terms, doc)
-    flat = pairs.select(user, F.explode(F.arrays_zip("ids", "counts")).alias("t")).select(user, F.col("t.ids").alias("id"), F.col("t.counts").alias("k"))
-    frequency = flat.groupBy(user, "id").agg(F.count(F.when(F.col("k") > 0, 1)).alias("df"))  # reads what the slices read: one exchange for both
+    # explode_outer and both columns: what is read here is then what the slices read, and Spark moves it once for both
+    flat = pairs.select(user, F.explode_outer(F.arrays_zip("ids", "counts")).alias("t")).select(user, F.col("t.ids").alias("id"), F.col("t.counts").alias("k"))
+    frequency = flat.groupBy(user, "id").agg(F.count(F.when(F.col("k") > 0, 1)).alias("df")).where("df > 0")
     wanted = profiles.select(user, F.explode(F.arrays_zip("ids", "counts")).alias("t")).select(user, F.col("t.ids").alias("id"), F.col("t.counts").alias("pf"))
     number = pending.groupBy(user).agg(F.count("*").cast("double").alias("n"))
     idf = F.log1p(F.col("n") / (1 + F.coalesce("df", F.lit(0))))
-    weights = met(frequency.join(wanted, [user, "id"], "full"), number, user).select(user, "id", idf.alias("idf"), F.coalesce((1 + F.log("pf")) * idf, F.lit(0.0)).alias("pw"), F.col("pf").isNotNull().alias("named"))
-    weights = materialized(weights)
+    weights = met(frequency.where("df > 1").join(wanted, [user, "id"], "left").unionByName(wanted.join(frequency, [user, "id"], "left").where("coalesce(df, 0) < 2").select(user, "id", "df", "pf")), number, user)
+    weights = weights.select(user, "id", idf.alias("idf"), F.coalesce((1 + F.log("pf")) * idf, F.lit(0.0)).alias("pw"), F.col("pf").isNotNull().alias("named"))
     sizes = weights.groupBy(user).agg(F.count("*").alias("v"), F.sqrt(F.sum(F.when(F.col("named"), F.col("pw") * F.col("pw")))).alias("pnorm"))
-    split = number.join(sizes, user).select(user, F.ceil(F.col("n") / slice_of).alias("slices"), F.ceil(F.col("v") / shard_of).alias("shards"), "pnorm")
-    split = materialized(split)
+    at_least_one = lambda x: F.greatest(F.lit(1), F.ceil(x)).cast("long")
+    split = number.join(sizes, user, "left").select(user, at_least_one(F.col("n") / slice_of).alias("slices"), at_least_one(F.coalesce("v", F.lit(0)) / shard_of).alias("shards"), F.log1p(F.col("n") / 2).alias("single"), "pnorm")
     placed = met(pairs, split, user).withColumn("slice", F.pmod(F.xxhash64(doc), "slices"))
-    placed = placed.select(user, doc, "ids", "counts", "slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
+    placed = placed.select(user, doc, "ids", "counts", "single", "shards", "slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
     dealt = met(weights, split, user).withColumn("shard", F.pmod("id", "shards"))
-    dealt = dealt.select(user, "id", "idf", "pw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "shard")
+    dealt = dealt.select(F.col(user).alias("_user"), "id", "idf", "pw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "shard")
     kinds = {f.name: f.dataType for f in pairs.schema}
     schema = f"{user} {kinds[user].simpleString()}, {doc} {kinds[doc].simpleString()}, dot double, square double"
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
-    key = [user, "slice", "shard"]
-    sums = placed.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(_products(user, doc, arrow), schema)
+    sums = placed.groupBy(user, "slice", "shard").cogroup(dealt.groupBy("_user", "slice", "shard")).applyInArrow(_products(user, doc, arrow), schema)
     sums = sums.groupBy(user, doc).agg(F.sum("dot").alias("dot"), F.sqrt(F.sum("square")).alias("norm"))
     rows = met(pending.select(user, doc).join(sums, [user, doc], "left"), split.select(user, "pnorm"), user, how="left")
     return rows.select(user, doc, F.when(F.col("pnorm") > 0, F.coalesce(F.try_divide(F.col("dot"), F.col("norm") * F.col("pnorm")), F.lit(0.0))).alias("similarity"))

@@ -375,13 +375,38 @@ def read_board(spark: SparkSession, ats: str, path: str, site: str = "") -> Data
 HOSTS = {"boards.greenhouse.io": "greenhouse", "job-boards.greenhouse.io": "greenhouse", "jobs.lever.co": "lever", "jobs.ashbyhq.com": "ashby", "jobs.smartrecruiters.com": "smartrecruiters", "careers.smartrecruiters.com": "smartrecruiters", "apply.workable.com": "workable", "ats.rippling.com": "rippling"}
 
 
+#: Hosts that name the account, language parts of a path, and how an account is spelled.
+ORACLE_HOST = r"^([a-z0-9-]+\.fa(?:\.[a-z0-9-]+)?)\.oraclecloud\.com$"
+WORKDAY_HOST = r"^([a-z0-9-]+)\.(wd\d+)\.myworkdayjobs\.com$"
+WORKDAY_SITE = r"^(wd\d+)\.myworkdaysite\.com$"
+LOCALE = "^[a-z]{2}-[A-Za-z]{2}$"
+SLUG = "^[A-Za-z0-9][A-Za-z0-9._-]{0,99}$"
+
+
 def board_of_url(url: Column) -> Column:
-    """Struct (ats, token) of a posting or board URL of the systems that name their account in the path; null for others."""
+    """Struct (ats, token) of the board that a posting's or board's URL is on; null for others.
+
+    Most systems name the account in the path. Oracle's token is host/site, Workday's tenant.host/site, whichever of its
+    two kinds of host it is.
+    """
     host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^\s*https?://([^/?#:]+)", 1)), r"^www\.", "")
     parts = F.array_remove(F.split(F.regexp_extract(url, r"^\s*https?://[^/?#]*([^?#]*)", 1), "/"), "")
-    first = F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit(""))
+    part = lambda rest, i: F.coalesce(F.get(rest, F.lit(i)), F.lit(""))
+    first = part(parts, 0)
     embedded = F.regexp_extract(url, r"[?&]for=([^&#]*)", 1)
     ats = F.coalesce(*[F.when(host == h, a) for h, a in HOSTS.items()])
     token = F.when((ats == "greenhouse") & (first == "embed"), embedded).when((ats == "workable") & first.isin("j", "api"), "").otherwise(first)
     token = F.when(ats.isin("ashby", "smartrecruiters"), token).otherwise(F.lower(token))
-    return F.when(ats.isNotNull() & token.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*$"), F.struct(ats.alias("ats"), token.alias("token")))
+    board = lambda name, found: F.struct(F.lit(name).alias("ats"), found.alias("token"))
+
+    followed = F.filter(parts, lambda p, i: (i > 0) & (F.get(parts, i - 1) == "sites") & p.rlike(SLUG))
+    oracle_site = part(followed, 0)
+    inner = F.when((F.size(parts) >= 4) & (first == "wday") & (part(parts, 1) == "cxs"), F.slice(parts, 4, 100)).when(first.rlike(LOCALE), F.slice(parts, 2, 100)).otherwise(parts)
+    recruiting = F.when(first.rlike(LOCALE), F.slice(parts, 2, 100)).otherwise(parts)
+    tenant, site = part(recruiting, 1), part(recruiting, 2)
+    return (
+        F.when(ats.isNotNull(), F.when(token.rlike(SLUG), F.struct(ats.alias("ats"), token.alias("token"))))
+        .when(host.rlike(ORACLE_HOST), F.when(oracle_site != "", board("oracle", F.concat_ws("/", F.regexp_extract(host, ORACLE_HOST, 1), oracle_site))))
+        .when(host.rlike(WORKDAY_HOST), F.when(part(inner, 0).rlike(SLUG), board("workday", F.concat(F.regexp_extract(host, WORKDAY_HOST, 1), F.lit("."), F.regexp_extract(host, WORKDAY_HOST, 2), F.lit("/"), part(inner, 0)))))
+        .when(host.rlike(WORKDAY_SITE) & (part(recruiting, 0) == "recruiting") & tenant.rlike(SLUG) & site.rlike(SLUG), board("workday", F.concat(F.lower(tenant), F.lit("."), F.regexp_extract(host, WORKDAY_SITE, 1), F.lit("/"), site)))
+    )

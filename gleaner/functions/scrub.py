@@ -91,11 +91,16 @@ def _once(value, build):
     return F.transform(F.array(value), build)[0]
 
 
+_BOUND, _FREE = [p[2:] for p in ORDERS if p.startswith(r"\b")], [p for p in ORDERS if not p.startswith(r"\b")]
+#: What a sentence that is aimed at machines cannot do without: a tool's name or an order. Tried at once, where words begin.
+SIGN = rf"(?i)\b(?:{TOOL}|{'|'.join(_BOUND)})|{'|'.join(_FREE)}"
+
+
 def aimed_at(sentence):
     """The place, from 1, where the words aimed at machines begin; null where there are none."""
     places = lambda read: F.array(*[spoken_at(read, p) for p in SPOKEN], *[F.regexp_instr(read, F.lit(f"(?i){p}")) for p in ORDERS])
-    plain = F.translate(sentence, LOOKALIKES[0] + _OPEN + _CLOSE, LOOKALIKES[1])
-    return _once(plain, lambda read: F.array_min(F.filter(places(read), lambda at: at > 0)))
+    plain = F.when(sentence.rlike(r"[^\x00-\x7F]"), F.translate(sentence, LOOKALIKES[0] + _OPEN + _CLOSE, LOOKALIKES[1])).otherwise(sentence)
+    return _once(plain, lambda read: F.when(read.rlike(SIGN), F.array_min(F.filter(places(read), lambda at: at > 0))))
 
 
 def _shown(sentence):

@@ -34,7 +34,7 @@ GENERIC_SKILL_WORDS = frozenset(
 
 
 #: Postings and terms of a user that meet in one group.
-SLICE, SHARD = 32768, 1 << 20
+SLICE, SHARD = 65536, 1 << 20
 
 
 _PLAIN, _ANY = re.compile("[a-z0-9+#]+"), regex.compile(r"[\p{L}\p{Nd}+#]+")
@@ -137,14 +137,14 @@ def candidate_similarities(terms: DataFrame, pending: DataFrame, profiles: DataF
     similarity 0; all of a user's are null if their profile has none. ``pending`` holds a pair once; a null user or
     posting meets nothing.
     """
-    pairs = met(pending.select(user, doc), terms, doc)
+    pairs = met(pending.select(user, doc).where(F.col(user).isNotNull() & F.col(doc).isNotNull()), terms, doc)
     # explode_outer and both columns: what is read here is then what the slices read, and Spark moves it once for both
     flat = pairs.select(user, F.explode_outer(F.arrays_zip("ids", "counts")).alias("t")).select(user, F.col("t.ids").alias("id"), F.col("t.counts").alias("k"))
-    frequency = flat.groupBy(user, "id").agg(F.count(F.when(F.col("k") > 0, 1)).alias("df")).where("df > 0")
+    frequency = flat.where(F.col("id").isNotNull()).groupBy(user, "id").agg(F.count(F.when(F.col("k") > 0, 1)).alias("df"))
     wanted = profiles.select(user, F.explode(F.arrays_zip("ids", "counts")).alias("t")).select(user, F.col("t.ids").alias("id"), F.col("t.counts").alias("pf"))
     number = pending.groupBy(user).agg(F.count("*").cast("double").alias("n"))
     idf = F.log1p(F.col("n") / (1 + F.coalesce("df", F.lit(0))))
-    weights = met(frequency.where("df > 1").join(wanted, [user, "id"], "left").unionByName(wanted.join(frequency, [user, "id"], "left").where("coalesce(df, 0) < 2").select(user, "id", "df", "pf")), number, user)
+    weights = met(frequency.join(wanted, [user, "id"], "full").where("df > 1 OR pf IS NOT NULL"), number, user)
     weights = weights.select(user, "id", idf.alias("idf"), F.coalesce((1 + F.log("pf")) * idf, F.lit(0.0)).alias("pw"), F.col("pf").isNotNull().alias("named"))
     sizes = weights.groupBy(user).agg(F.count("*").alias("v"), F.sqrt(F.sum(F.when(F.col("named"), F.col("pw") * F.col("pw")))).alias("pnorm"))
     at_least_one = lambda x: F.greatest(F.lit(1), F.ceil(x)).cast("long")

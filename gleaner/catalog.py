@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gleaner.queries import analytics, content, postings, profiles, ranking, surfaces
+from gleaner.queries import analytics, content, postings, profiles, ranking, reviews, surfaces
 
-MODULES = (analytics, postings, content, surfaces, profiles, ranking)
+MODULES = (analytics, postings, content, surfaces, profiles, ranking, reviews)
 
 QUERIES = {name: f for module in MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

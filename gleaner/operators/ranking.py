@@ -34,7 +34,7 @@ GENERIC_SKILL_WORDS = frozenset(
 
 
 #: Postings and terms of a user that meet in one group.
-SLICE, SHARD = 65536, 1 << 20
+SLICE, SHARD = 32768, 1 << 21
 
 
 _PLAIN, _ANY = re.compile("[a-z0-9+#]+"), regex.compile(r"[\p{L}\p{Nd}+#]+")

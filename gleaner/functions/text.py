@@ -195,7 +195,8 @@ def html_to_text(page):
     for tag_name in ("script", "style"):
         out = F.regexp_replace(out, rf"(?is)<\s*{tag_name}[^>]*>.*?<\s*/\s*{tag_name}\s*>", " ")
     hidden = rf"""(?is)<(?:{HIDDEN_TAGS})\b[^>]*\bstyle\s*=\s*["'][^"']*(?:{"|".join(HIDDEN_STYLES)})[^>]*>.*?</(?:{HIDDEN_TAGS})\s*>"""
-    out = F.regexp_replace(out, hidden, " ")
+    # the costly pattern only where a page has a style at all; the page so far is computed once for both
+    out = F.transform(F.array(out), lambda o: F.when(o.rlike(r"(?i)style\s*="), F.regexp_replace(o, hidden, " ")).otherwise(o))[0]
     for pattern, put in ((r"(?i)<\s*br\s*/?>", "\n"), (rf"(?i)</\s*(?:{BLOCK_TAGS})\s*>", "\n\n"), (rf"(?i)</\s*(?:{ITEM_TAGS})\s*>", "\n"), (r"<[^>]*>", "")):
         out = F.regexp_replace(out, pattern, put)
     lines = F.transform(F.split(unescaped(out), "\n", -1), lambda line: trimmed(F.regexp_replace(line, r"[ \t\r\f\x0B\x{00A0}]+", " ")))

@@ -1,4 +1,4 @@
-"""Reviews of resumes made of whole documents: a section for each stretch of lines, an entry a line, a bullet a sentence."""
+"""Reviews of resumes made of whole documents (an entry a line, a bullet a sentence), similar titles, and settings."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import review as V
+from gleaner.functions import text as X
+from gleaner.operators.setjoin import similar_sets
 from gleaner.plans.tables import Tables
 from gleaner.queries.register import registry
 
@@ -55,3 +57,20 @@ def resume_reviews(t: Tables) -> DataFrame:
     judged = resumes(t).select("doc_id", V.review(F.col("resume"), F.col("pages")).alias("r"), V.plain_text(F.col("resume")).alias("text"))
     findings = F.transform("r.checks", lambda c: F.concat_ws("|", c["id"], c["severity"], c["target"], c["message"]))
     return judged.select("doc_id", "r.score", F.size("r.checks").alias("n"), F.sha2(F.array_join(findings, "\n"), 256).alias("findings_sha256"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(with_tables=False, sql=r"""
+WITH titles AS (SELECT doc_id AS k, lower(array_to_string(string_split(text, ' ')[1:5], ' ')) AS title FROM documents UNION ALL SELECT 10000000 + p_partkey, lower(p_name) FROM part),
+words AS (SELECT DISTINCT k, unnest(regexp_split_to_array(title, '[^a-z0-9]+')) AS word FROM titles),
+grams AS (SELECT DISTINCT k, substr('  ' || word || ' ', i, 3) AS g FROM (SELECT k, word, unnest(range(1, len(word) + 2)) AS i FROM words WHERE word <> '')),
+whole AS (SELECT k, list(g ORDER BY g) AS e FROM grams GROUP BY k), members AS (SELECT e, min(k) AS id FROM whole GROUP BY e),
+named AS (SELECT id, unnest(e) AS g, len(e) AS n FROM members),
+shared AS (SELECT x.id AS a, y.id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS c FROM named x JOIN named y ON x.g = y.g AND x.id < y.id GROUP BY x.id, y.id)
+SELECT a, b, round(c / (na + nb - c)::DOUBLE, 9) AS similarity FROM shared WHERE c / (na + nb - c)::DOUBLE >= 0.35
+UNION ALL SELECT id, k, 1.0 FROM whole JOIN members USING (e) WHERE k <> id""")
+def similar_title_pairs(t: Tables) -> DataFrame:
+    """Titles of all documents (their first five words) and all part names that are similar by their three-letter pieces."""
+    docs = t.raw("documents").select(F.col("doc_id").alias("k"), F.array_join(F.slice(F.split("text", " ", -1), 1, 5), " ").alias("title"))
+    parts = t.raw("part").select((F.lit(10_000_000) + F.col("p_partkey")).alias("k"), F.col("p_name").alias("title"))
+    titles = docs.unionByName(parts).select("k", X.trigrams(F.coalesce("title", F.lit(""))).alias("grams"))
+    return similar_sets(titles, "k", "grams", 0.35).select("a", "b", F.round("similarity", 9).alias("similarity"))

@@ -216,3 +216,30 @@ def json_details(document):
     """The filled entries of a JSON object of strings as an array of (key, value), by key."""
     entries = F.map_entries(F.from_json(document, "map<string,string>"))
     return F.array_sort(F.filter(entries, lambda e: trimmed(F.coalesce(e["value"], F.lit(""))) != ""))
+
+
+#: Answers about oneself that were stored by default, and the word that stood for none.
+SELF_DESCRIBED, DECLINED = ("gender", "race", "hispanic", "veteran", "disability", "transgender", "sexual_orientation"), "decline"
+
+
+def json_patch(document, *patches):
+    """A JSON object with those of ``patches``, JSON objects too, laid over it one after the other, by their top fields.
+
+    Fields that no patch names stay as they are, whatever is in them; fields come out by name, numbers in their plain
+    form. A patch that is null or no object changes nothing; a document that is null or no object stays.
+    """
+    fields = lambda d: F.from_json(d, "map<string,variant>")
+    entries = lambda d: F.coalesce(F.map_entries(fields(d)), F.array().cast("array<struct<key: string, value: variant>>"))
+
+    def over(merged, new):
+        return F.concat(F.filter(merged, lambda e: ~F.exists(new, lambda n: n["key"] == e["key"])), new)
+
+    merged = reduce(over, map(entries, patches), entries(document))
+    by_name = F.array_sort(merged, lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0))
+    return F.when(fields(document).isNotNull(), F.to_json(F.map_from_entries(by_name))).otherwise(document)
+
+
+def without_stored_defaults(document):
+    """Stored details in which answers about oneself that were only a default are empty; all others stay."""
+    said = lambda name: F.get_json_object(document, f"$.{name}") == DECLINED
+    return json_patch(document, *[F.when(said(name), F.lit(f'{{"{name}":""}}')) for name in SELF_DESCRIBED])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions import resumes as P
 from gleaner.functions import review as V
 from gleaner.functions import text as X
 from gleaner.operators.setjoin import similar_sets
@@ -74,3 +75,20 @@ def similar_title_pairs(t: Tables) -> DataFrame:
     parts = t.raw("part").select((F.lit(10_000_000) + F.col("p_partkey")).alias("k"), F.col("p_name").alias("title"))
     titles = docs.unionByName(parts).select("k", X.trigrams(F.coalesce("title", F.lit(""))).alias("grams"))
     return similar_sets(titles, "k", "grams", 0.35).select("a", "b", F.round("similarity", 9).alias("similarity"))
+
+
+@query(r"""
+WITH stored AS (
+  SELECT c_custkey AS user_id, c_custkey % 13 = 12 AS none, '{"gender":"' || CASE c_custkey % 3 WHEN 0 THEN 'decline' WHEN 1 THEN 'woman' ELSE '' END || '","name":"' || c_name || '","more":{"segment":"' || c_mktsegment || '","list":[1,2]},"veteran":"'
+    || CASE WHEN c_custkey % 2 = 0 THEN 'decline' ELSE 'no' END || '"}' AS details FROM customer)
+, patched AS (SELECT user_id, none, json_merge_patch(json_merge_patch(details, CASE WHEN details->>'gender' = 'decline' THEN '{"gender":""}' ELSE '{}' END), CASE WHEN details->>'veteran' = 'decline' THEN '{"veteran":""}' ELSE '{}' END) AS d FROM stored)
+SELECT user_id, CASE WHEN NOT none THEN d->>'gender' END AS gender, CASE WHEN NOT none THEN d->>'veteran' END AS veteran, CASE WHEN NOT none THEN d->>'name' END AS name, CASE WHEN NOT none THEN d->'more'->>'segment' END AS segment FROM patched""", with_tables=False)
+def cleared_defaults(t: Tables) -> DataFrame:
+    """Stored details of all customers without answers that were only a default; what else they hold stays."""
+    key = F.col("c_custkey")
+    gender = F.when(key % 3 == 0, "decline").when(key % 3 == 1, "woman").otherwise("")
+    pieces = (F.lit('{"gender":"'), gender, F.lit('","name":"'), "c_name", F.lit('","more":{"segment":"'), "c_mktsegment", F.lit('","list":[1,2]},"veteran":"'), F.when(key % 2 == 0, "decline").otherwise("no"), F.lit('"}'))
+    stored = t.raw("customer").select(key.alias("user_id"), F.when(key % 13 != 12, F.concat(*pieces)).alias("details"))
+    rows = stored.select("user_id", P.without_stored_defaults(F.col("details")).alias("d"))
+    fields = {"gender": "gender", "veteran": "veteran", "name": "name", "segment": "more.segment"}
+    return rows.select("user_id", *[F.get_json_object("d", f"$.{path}").alias(c) for c, path in fields.items()])

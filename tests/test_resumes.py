@@ -139,3 +139,20 @@ def test_details(spark, reader, schema, detail, html, remote, title):
     row = reader(listed, spark.createDataFrame([detail], schema)).collect()
     assert len(row) == 1 and (row[0].ext_id, row[0].title, row[0].description_html, row[0].is_remote, row[0].location_raw) == ("1", title, html, remote, "here")
     assert row[0].description_text and "<" not in row[0].description_text
+
+
+def test_json_patch(spark):
+    rows = [
+        ('{"b": {"x": [1, null]}, "a": "decline", "é": "q\\"u"}', '{"a": 1}', '{"c": {"d": 2}, "a": null}', '{"a":null,"b":{"x":[1,null]},"c":{"d":2},"é":"q\\"u"}'),
+        ('{"a": {"x": 1, "y": 2}}', '{"a": {"x": 3}}', None, '{"a":{"x":3}}'),  # only top fields are merged
+        ("{}", "nope", "[1]", "{}"),
+        ("nope", '{"a": 1}', None, "nope"),
+        ("[1]", '{"a": 1}', None, "[1]"),
+        (None, '{"a": 1}', None, None),
+    ]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, d string, p string, q string, want string")
+    got = frame.select("i", "want", P.json_patch(F.col("d"), F.col("p"), F.col("q")).alias("x")).orderBy("i").collect()
+    assert [r.x for r in got] == [r.want for r in got]
+    details = '{"gender":"decline","race":"x","note":"decline","veteran":"decline"}'
+    cleared = spark.createDataFrame([(details,)], "d string").select(P.without_stored_defaults(F.col("d")).alias("x")).first().x
+    assert cleared == '{"gender":"","note":"decline","race":"x","veteran":""}'

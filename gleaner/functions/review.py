@@ -86,10 +86,10 @@ def first_word(text: Column) -> Column:
 
 
 def _bullet_checks(section: Column, title: Column, bullet: Column, place: list) -> Column:
-    def checks(text):
-        low, size = F.lower(text), F.octet_length(text)
-        weak = _first_of(WEAK_OPENERS, lambda w: F.startswith(low, F.lit(w)))
-        cliche = _first_of(CLICHES, lambda w: F.contains(low, F.lit(w)))
+    def checks(both):
+        text, low, size = both["text"], both["low"], F.octet_length(both["text"])
+        weak = F.when(low.rlike("^(?:" + "|".join(WEAK_OPENERS) + ")"), _first_of(WEAK_OPENERS, lambda w: F.startswith(low, F.lit(w))))
+        cliche = F.when(low.rlike("|".join(CLICHES)), _first_of(CLICHES, lambda w: F.contains(low, F.lit(w))))
         pronoun = F.regexp_extract(text, PRONOUN, 1)
         short = (size <= LONGEST) & (size < SHORTEST) & (section["kind"] == "entries") & ~F.contains(title, F.lit("education"))
         return _kept(
@@ -100,7 +100,8 @@ def _bullet_checks(section: Column, title: Column, bullet: Column, place: list)
             _found(cliche.isNotNull(), [*place, 3], "cliche", "tip", bullet["id"], _quoted(cliche), " is a cliché that reviewers skip; show it with a result instead."),
         )
 
-    return _once(F.replace(_said(bullet["text"]), F.lit("**"), F.lit("")), checks)
+    plain = F.replace(_said(bullet["text"]), F.lit("**"), F.lit(""))
+    return _once(F.struct(plain.alias("text"), F.lower(plain).alias("low")), checks)
 
 
 def _entry_checks(section: Column, title: Column, entry: Column, place: list) -> Column:
@@ -156,9 +157,9 @@ def _whole_checks(resume: Column, bullets: Column, pages: Column) -> tuple[Colum
     written = lambda style: F.exists(dates, lambda d: d.rlike(style)).cast("int")
     styles = reduce(lambda a, b: a + b, map(written, DATE_STYLES.values()))
     words = F.filter(F.transform(bullets, lambda b: F.struct(first_word(b["text"]).alias("w"), b["id"].alias("id"))), lambda x: F.length(x["w"]) > 0)
-    verbs = F.array_sort(F.array_distinct(F.transform(words, lambda x: x["w"])))
-
     def repeated(words):
+        ordered = F.array_sort(F.transform(words, lambda x: x["w"]))
+        verbs = _once(ordered, lambda o: F.array_distinct(F.filter(o, lambda w, i: w.eqNullSafe(F.get(o, i + 2)))))  # those that stand three times
         of = lambda v: F.filter(words, lambda x: x["w"] == v)
         return F.transform(verbs, lambda v, i: _once(of(v), lambda same: _found((F.size(same) >= 3) & (F.octet_length(v) > 2), [2, 4, i], "repeated-verb", "tip", F.get(same, F.lit(2))["id"], F.size(same), " bullets start with ", _quoted(v), "; vary the verbs.")))
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from gleaner.functions.replies import without_fences
-from gleaner.functions.text import phrase_set, trimmed
+from gleaner.functions.text import once, phrase_set, trimmed
 
 #: Skills that go by another name.
 SYNONYMS = {
@@ -46,8 +46,12 @@ def _empty():
 
 def canonical_skill(name):
     """A skill in lower case, in letters, digits and ``+#./``, under its usual name."""
-    plain = F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9+#./]+", " "))
-    return F.coalesce(F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])[plain], plain)
+    return once(F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9+#./]+", " ")), _usual)
+
+
+def _usual(plain):
+    """The usual name of a skill that is written plainly."""
+    return F.when(plain.isin(*SYNONYMS), F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])[plain]).otherwise(plain)
 
 
 def split_items(text):
@@ -164,23 +168,38 @@ def bullet_priority(section, entry, bullet, is_project, hits, dropped_at=None, d
 
 
 def named_phrases(text):
-    """The runs of one to three words of a text and, for each of them and of its parts between slashes, the usual name."""
+    """The runs of one to three words of a text and, for each of them and of its parts between slashes, the usual name.
+
+    Runs hold single blanks and nothing that a skill's name would lose, so their names need no pattern.
+    """
     runs = F.array_remove(F.transform(phrase_set(F.coalesce(text, F.lit(""))), lambda p: F.trim(p, F.lit(".,/"))), "")
-    parts = F.array_remove(F.flatten(F.transform(runs, lambda p: F.split(p, "/", -1))), "")
-    return F.array_distinct(F.concat(runs, F.transform(F.array_distinct(F.concat(runs, parts)), canonical_skill)))
+
+    def named(runs):
+        slashed = F.filter(runs, lambda p: F.contains(p, F.lit("/")))
+        parts = F.array_remove(F.flatten(F.transform(slashed, lambda p: F.split(p, "/", -1))), "")
+        return F.array_distinct(F.concat(runs, F.transform(F.concat(runs, parts), lambda p: once(F.trim(p), _usual))))
+
+    return once(runs, named)
 
 
 def keyword_coverage(text, keywords):
     """Struct (matched, missing, percent) of keywords in a text: one is met by any of its forms under its usual name, and counts once."""
-    have = named_phrases(text)
-    named = F.filter(F.transform(keywords, lambda k: F.struct(k.alias("word"), canonical_skill(k).alias("name"))), lambda k: k["name"] != "")
+
+    def of(word):
+        forms = F.transform(keyword_forms(word), lambda f: F.array(canonical_skill(f), F.lower(trimmed(f))))
+        return F.struct(word.alias("word"), canonical_skill(word).alias("name"), F.array_distinct(F.flatten(forms)).alias("forms"))
+
+    named = F.filter(F.transform(keywords, of), lambda k: k["name"] != "")
+    first = lambda all_of: F.filter(all_of, lambda k, i: ~F.exists(F.slice(all_of, 1, i), lambda x: x["name"] == k["name"]))
 
     def found(both):
-        once = F.filter(both["named"], lambda k, i: ~F.exists(F.slice(both["named"], 1, i), lambda x: x["name"] == k["name"]))
-        met = lambda k: F.exists(keyword_forms(k["word"]), lambda f: F.array_contains(both["have"], canonical_skill(f)) | F.array_contains(both["have"], F.lower(trimmed(f))))
-        words = lambda keep: F.transform(F.filter(once, keep), lambda k: k["word"])
-        matched, missing = words(met), words(lambda k: ~met(k))
-        percent = F.when(F.size(once) > 0, F.floor(100 * F.size(matched) / F.size(once))).otherwise(0).cast("int")
+        judged = F.transform(both["wanted"], lambda k: F.struct(k["word"].alias("word"), F.coalesce(F.arrays_overlap(k["forms"], both["have"]), F.lit(False)).alias("met")))
+        return once(judged, shares)
+
+    def shares(judged):
+        words = lambda keep: F.transform(F.filter(judged, keep), lambda k: k["word"])
+        matched, missing = words(lambda k: k["met"]), words(lambda k: ~k["met"])
+        percent = F.when(F.size(judged) > 0, F.floor(100 * F.size(matched) / F.size(judged))).otherwise(0).cast("int")
         return F.struct(matched.alias("matched"), missing.alias("missing"), percent.alias("percent"))
 
-    return F.transform(F.array(F.struct(have.alias("have"), named.alias("named"))), found)[0]
+    return once(F.struct(named_phrases(text).alias("have"), once(named, first).alias("wanted")), found)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from hashlib import sha256
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import functions as F
 
-from gleaner.functions.phrases import canonical_skill, named_phrases
-from gleaner.functions.text import trimmed
+from gleaner.functions.phrases import SYNONYMS, named_phrases
+from gleaner.functions.text import once, trimmed
 
 #: Months by their first letters, and the month that a season stands for.
 MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12}
@@ -29,6 +30,8 @@ excel,salesforce,hubspot,quickbooks,sap,netsuite,workday,google analytics,seo,ad
 epic,cerner,meditech,bls,acls,pals,nrp,tncc,patient care,triage,telemetry,critical care,medication administration,
 iv therapy,phlebotomy,wound care,charting,hipaa,case management,infection control,cpr,first aid,
 classroom management,lesson planning,curriculum development,special education,cdl,osha,forklift,food safety,servsafe""".replace("\n", "").split(",")
+#: Each of them with its usual name.
+KNOWN_NAMES = {t: SYNONYMS.get(plain, plain) for t in KNOWN_TERMS for plain in [re.sub("[^a-z0-9+#./]+", " ", t).strip()]}
 #: Prefixes of queries and documents by what a model's name holds.
 PREFIXES = (
     (("bge-", "-en"), "Represent this sentence for searching relevant passages: ", ""),
@@ -40,11 +43,6 @@ PREFIXES = (
 )
 
 
-def _once(value, build):
-    """``build`` of a column, which is computed once however often ``build`` reads it."""
-    return F.transform(F.array(value), build)[0]
-
-
 def _year_month(year, month):
     """YYYY-MM, or the year alone where the month is none."""
     return F.when(month.between(1, 12), F.concat(year, F.lit("-"), F.lpad(month.cast("string"), 2, "0"))).otherwise(year)
@@ -77,7 +75,7 @@ def parsed_dates(text):
         last = F.when((F.size(dates) > 1) & ~current, F.try_element_at(dates, F.lit(-1))).otherwise("")
         return F.struct(first.alias("start"), last.alias("end"), current.alias("current"))
 
-    return _once(tokens, read)
+    return once(tokens, read)
 
 
 def recent_first(entries):
@@ -91,18 +89,20 @@ def recent_first(entries):
 
 def past_start(label, value, today):
     """Whether a form's answer is a start that has gone by on the date ``today``: a day, a month that is over, or years all before this one."""
-    v = trimmed(value)
-    day = F.to_date(F.try_to_timestamp(v, F.lit("yyyy-MM-dd")))
-    american = F.to_date(F.try_to_timestamp(v, F.lit("M/d/yyyy")))
-    month = F.to_date(F.try_to_timestamp(v, F.lit("yyyy-M")))
-    years = F.regexp_extract_all(v, F.lit(r"\b(?:19|20)\d{2}\b"), F.lit(0))
-    gone = (
-        F.when(v.rlike(r"^\d{4}-\d\d-\d\d$") & day.isNotNull(), day < today)
-        .when(v.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.coalesce(american < today, F.lit(False)))
-        .when(v.rlike(r"^\d{4}-\d{1,2}$"), F.coalesce(F.add_months(month, 1) <= today, F.lit(False)))
-        .otherwise((F.size(years) > 0) & F.forall(years, lambda y: y.cast("int") < F.year(today)))
-    )
-    return label.rlike("(?i)start|availab|join|begin|commence") & F.coalesce(gone, F.lit(False))
+
+    def gone(v):
+        day = F.to_date(F.try_to_timestamp(v, F.lit("yyyy-MM-dd")))
+        american = F.to_date(F.try_to_timestamp(v, F.lit("M/d/yyyy")))
+        month = F.to_date(F.try_to_timestamp(v, F.lit("yyyy-M")))
+        years = F.regexp_extract_all(v, F.lit(r"\b(?:19|20)\d{2}\b"), F.lit(0))
+        return (
+            F.when(v.rlike(r"^\d{4}-\d\d-\d\d$") & day.isNotNull(), day < today)
+            .when(v.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.coalesce(american < today, F.lit(False)))
+            .when(v.rlike(r"^\d{4}-\d{1,2}$"), F.coalesce(F.add_months(month, 1) <= today, F.lit(False)))
+            .otherwise(once(years, lambda years: (F.size(years) > 0) & F.forall(years, lambda y: y.cast("int") < F.year(today))))
+        )
+
+    return label.rlike("(?i)start|availab|join|begin|commence") & F.coalesce(once(trimmed(value), gone), F.lit(False))
 
 
 def zone_or_utc(name: str | None) -> str:
@@ -169,22 +169,25 @@ def clean_text(text, most: int = 30_000):
 
 def known_terms(text):
     """The common skills that a text names, by their first place in it; skills of one name once."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    entries = F.array(*[F.struct(F.lit(t).alias("term"), canonical_skill(F.lit(t)).alias("name")) for t in KNOWN_TERMS])
-
-    def hits(have):
-        held = F.filter(entries, lambda e: F.array_contains(have, e["name"]) | F.array_contains(have, e["term"]))
-        once = F.filter(held, lambda e, i: ~F.exists(F.slice(held, 1, i), lambda x: x["name"] == e["name"]))
-        placed = F.transform(once, lambda e, i: F.struct(F.when(F.instr(low, e["term"]) > 0, F.instr(low, e["term"])).otherwise(F.length(low) + 1).alias("at"), i.alias("i"), e["term"].alias("term")))
+    entries = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(name).alias("name")) for t, name in KNOWN_NAMES.items()])
+
+    def hits(both):
+        near = F.filter(both["have"], lambda p: p.isin(*{*KNOWN_NAMES, *KNOWN_NAMES.values()}))
+        held = once(near, lambda near: F.filter(entries, lambda e: F.array_contains(near, e["name"]) | F.array_contains(near, e["term"])))
+        first = once(held, lambda held: F.filter(held, lambda e, i: ~F.exists(F.slice(held, 1, i), lambda x: x["name"] == e["name"])))
+        at = lambda e: once(F.instr(both["low"], e["term"]), lambda at: F.when(at > 0, at).otherwise(F.length(both["low"]) + 1))
+        placed = F.transform(first, lambda e, i: F.struct(at(e).alias("at"), i.alias("i"), e["term"].alias("term")))
         return F.transform(F.array_sort(placed), lambda p: p["term"])
 
-    return _once(named_phrases(low), hits)
+    with_phrases = lambda low: F.struct(low.alias("low"), named_phrases(low).alias("have"))
+    return once(once(F.lower(F.coalesce(text, F.lit(""))), with_phrases), hits)
 
 
 def choice(options, value):
     """The first of a form's options that a value names, case and white space aside; empty where it names none."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[\x09-\x0D\x20\x{85}\x{A0}]+", " "))
-    return F.coalesce(F.try_element_at(F.filter(options, lambda o: plain(o) == plain(value)), F.lit(1)), F.lit(""))
+    named = once(plain(value), lambda v: F.filter(options, lambda o: plain(o) == v))
+    return F.coalesce(F.try_element_at(named, F.lit(1)), F.lit(""))
 
 
 def capitalized(text):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import phrases, replies
 from gleaner.functions import resumes as P
 from gleaner.operators import accounts, lookup
+from gleaner.operators.joins import spread
 from gleaner.plans.tables import Tables
 from gleaner.queries.content import CATALOG, PREFS, RULE_SQL, rule_postings
 from gleaner.queries.register import registry
@@ -84,7 +85,7 @@ def term_hits(t: Tables) -> DataFrame:
     """Known skills in texts that name them among the words of the table."""
     even = F.when(F.col("p_partkey") % 2 == 0, " go,").otherwise(",")
     text = F.concat(F.lit("Spark and C++ with "), "p_name", even, F.lit(" machine learning ("), "p_type", F.lit("), kubernetes, k8s"))
-    return t.raw("part").select("p_partkey", F.array_join(P.known_terms(text), ",").alias("terms"))
+    return spread(t.raw("part"), "p_partkey").select("p_partkey", F.array_join(P.known_terms(text), ",").alias("terms"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN '' ELSE p_type END AS picked FROM part", with_tables=False)

@@ -208,7 +208,7 @@ def keyword_share(t: Tables) -> DataFrame:
     """Whole percent of four keywords that a text meets by any of their forms, whatever they are called."""
     text = F.concat_ws(" ", "p_name", "p_type", F.lit("k8s"))
     keywords = F.array(*map(F.lit, ("Kubernetes", "Steel", "fasteners (bolt/red)", "Golang", "kubernetes", "")))
-    return t.raw("part").select("p_partkey", phrases.keyword_coverage(text, keywords)["percent"].alias("percent"))
+    return spread(t.raw("part"), "p_partkey").select("p_partkey", phrases.keyword_coverage(text, keywords)["percent"].alias("percent"))
 
 
 @query("SELECT id, title || ' ' || url AS description FROM jobs WHERE id = (SELECT min(id) FROM jobs WHERE closed_at IS NULL)")

@@ -19,3 +19,9 @@ def test_known_terms_split_a_text_once(spark):
     plan, physical = plans(spark, "term_hits")
     assert plan.count("split(") <= 2  # words, and parts between slashes
     assert "REPARTITION_BY_COL" in physical
+
+
+def test_keyword_coverage_splits_a_text_once(spark):
+    plan, physical = plans(spark, "keyword_share")
+    assert plan.count("[^a-z0-9+#./]+, -1") == 1
+    assert "REPARTITION_BY_COL" in physical

@@ -198,7 +198,7 @@ def form_answers(t: Tables) -> DataFrame:
     given = F.when(key == 2, F.filter(given, lambda a: a["id"] != "a")).otherwise(given)
     reply = F.to_json(F.struct(given.alias("answers")))
     kept = replies.form_answers(reply, fields, F.lit("2002-01-01").cast("date"), phrases.clean_letter, P.choice, P.past_start)
-    return t.raw("part").select("p_partkey", F.array_join(F.transform(kept, lambda a: F.concat(a["id"], F.lit("="), a["value"])), ";").alias("answers"))
+    return spread(t.raw("part"), "p_partkey").select("p_partkey", F.array_join(F.transform(kept, lambda a: F.concat(a["id"], F.lit("="), a["value"])), ";").alias("answers"))
 
 
 @query("""

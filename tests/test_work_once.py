@@ -25,3 +25,9 @@ def test_keyword_coverage_splits_a_text_once(spark):
     plan, physical = plans(spark, "keyword_share")
     assert plan.count("[^a-z0-9+#./]+, -1") == 1
     assert "REPARTITION_BY_COL" in physical
+
+
+def test_form_answers_clean_a_value_once(spark):
+    plan, physical = plans(spark, "form_answers")
+    assert plan.count("from_json") == 1 and plan.count("```") <= 4
+    assert "REPARTITION_BY_COL" in physical

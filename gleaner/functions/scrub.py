@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.functions.text import trimmed
+from gleaner.functions.text import once, trimmed
 
 #: Characters that show nothing, and letters of other alphabets that read like Latin ones.
 INVISIBLE = r"[\x{00ad}\x{034f}\x{061c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}\x{ffa0}\x{e0000}-\x{e007f}]"
@@ -68,27 +71,25 @@ def spoken_at(read, pattern: str):
     all the rest of the sentence. All matches are marked with that group, and the first mark that holds something counts.
     """
     role = rf"{TOOL}\b(?=((?={ROLE})|[\s\S]+))"
-    own = rf"(?=((?<={OWN})|[\s\S]+)){TOOL}\b(?=((?={ROLE})|(?=\1)|[\s\S]+))"
+    own = rf"(?={TOOL}\b)(?=((?<={OWN})|[\s\S]+)){TOOL}\b(?=((?={ROLE})|(?=\1)|[\s\S]+))"  # whose it is matters only where a name is
     group = 2 if OTHERS_NAME in pattern else 1
     marked = F.regexp_replace(read, "(?i)" + pattern.replace(OTHERS_NAME, own).replace(NAME, role), f"{_OPEN}${group}{_CLOSE}$0")
     first = F.regexp_instr(marked, F.lit(f"{_OPEN}[^{_CLOSE}]"))
     return F.when(first > 0, F.length(F.regexp_replace(F.left(marked, first - 1), f"{_OPEN}[^{_CLOSE}]*{_CLOSE}", "")) + 1)
 
 
-@F.pandas_udf(T.StringType())
-def _composed(texts: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else unicodedata.normalize("NFKC", t) for t in texts], dtype=object)
+_UNSEEN = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), INVISIBLE))
 
 
-def composed(text):
-    """``text`` in the Unicode form NFKC; only texts beyond ASCII leave the JVM."""
-    wide = text.rlike(r"[^\x00-\x7F]")
-    return F.when(wide, _composed(F.when(wide, text))).otherwise(text)
+@F.pandas_udf(T.StringType())
+def _legible(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else _UNSEEN.sub("", unicodedata.normalize("NFKC", t)) for t in texts], dtype=object)
 
 
-def _once(value, build):
-    """``build`` of a column, which is computed once however often ``build`` reads it."""
-    return F.transform(F.array(value), build)[0]
+def legible(text):
+    """``text`` in the Unicode form NFKC, without characters that show nothing; only texts beyond ASCII leave the JVM."""
+    wide = text.rlike(r"[^\x00-\x7F]")
+    return F.when(wide, _legible(F.when(wide, text))).otherwise(text)
 
 
 _BOUND, _FREE = [p[2:] for p in ORDERS if p.startswith(r"\b")], [p for p in ORDERS if not p.startswith(r"\b")]
@@ -96,11 +97,23 @@ _BOUND, _FREE = [p[2:] for p in ORDERS if p.startswith(r"\b")], [p for p in ORDE
 SIGN = rf"(?i)\b(?:{TOOL}|{'|'.join(_BOUND)})|{'|'.join(_FREE)}"
 
 
+#: The same for whole lines at once, in the linear patterns of Arrow: what every line with a sign holds, up to where a rule looks
+#: further on. Letters of other alphabets that read like Latin ones may spell any sign.
+LINE_SIGN = "|".join([rf"\b(?:{TOOL}|{'|'.join(p.split(r'[^.!?')[0] for p in _BOUND)})", *(p.removeprefix(r"(?m:^)\s*") for p in _FREE), f"[{LOOKALIKES[0]}{_OPEN}{_CLOSE}]"]).replace(r"\s", r"[\s\x0B]")
+
+
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def _signed(lines: pa.Array) -> pa.Array:
+    """Of every text's lines, whether they may hold a sign."""
+    found = pc.match_substring_regex(lines.flatten(), LINE_SIGN, ignore_case=True)
+    return pa.ListArray.from_arrays(pc.subtract(lines.offsets, lines.offsets[0]), found)
+
+
 def aimed_at(sentence):
     """The place, from 1, where the words aimed at machines begin; null where there are none."""
     places = lambda read: F.array(*[spoken_at(read, p) for p in SPOKEN], *[F.regexp_instr(read, F.lit(f"(?i){p}")) for p in ORDERS])
     plain = F.when(sentence.rlike(r"[^\x00-\x7F]"), F.translate(sentence, LOOKALIKES[0] + _OPEN + _CLOSE, LOOKALIKES[1])).otherwise(sentence)
-    return _once(plain, lambda read: F.when(read.rlike(SIGN), F.array_min(F.filter(places(read), lambda at: at > 0))))
+    return once(plain, lambda read: F.when(read.rlike(SIGN), F.array_min(F.filter(places(read), lambda at: at > 0))))
 
 
 def _shown(sentence):
@@ -112,7 +125,7 @@ def _shown(sentence):
         end = F.concat(F.when(before.rlike(r"[.?!]\z"), "").otherwise("."), F.when(sentence.endswith("\n"), "\n").otherwise(" "))
         return F.when(at.isNull(), sentence).when(says, F.concat(before, end)).otherwise("")
 
-    return _once(aimed_at(sentence), kept)
+    return once(aimed_at(sentence), kept)
 
 
 def scrubbed(text):
@@ -121,6 +134,9 @@ def scrubbed(text):
     The sentence around an order stays as far as it says something before it. Every prompt built from a posting takes
     its text from here. Null stays null.
     """
-    plain = F.regexp_replace(composed(text), INVISIBLE, "")
-    parts = F.transform(F.regexp_extract_all(plain, F.lit(SENTENCE), F.lit(0)), _shown)
-    return trimmed(F.regexp_replace(F.array_join(parts, ""), r"\n{3,}", "\n\n"))
+    plain = legible(text)
+    lines = lambda s: F.split(s, r"(?<=\n)", -1)  # noqa: E731  no sentence goes beyond its line
+    sentences = lambda line: F.array_join(F.transform(F.regexp_extract_all(line, F.lit(SENTENCE), F.lit(0)), _shown), "")
+    signed = _signed(lines(F.coalesce(plain, F.lit(""))))
+    parts = F.transform(F.arrays_zip(lines(plain).alias("line"), signed.alias("signed")), lambda x: F.when(x["signed"], sentences(x["line"])).otherwise(x["line"]))
+    return trimmed(F.regexp_replace(F.array_join(F.when(text.isNotNull(), parts), ""), r"\n{3,}", "\n\n"))

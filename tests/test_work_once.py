@@ -31,3 +31,7 @@ def test_form_answers_clean_a_value_once(spark):
     plan, physical = plans(spark, "form_answers")
     assert plan.count("from_json") == 1 and plan.count("```") <= 4
     assert "REPARTITION_BY_COL" in physical
+
+
+def test_scrubbed_postings_are_dealt_over_the_tasks(spark):
+    assert "REPARTITION_BY_COL" in plans(spark, "scrubbed_postings")[1]

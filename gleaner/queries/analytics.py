@@ -284,8 +284,11 @@ SPONSOR_SQL = """
 
 @query(SPONSOR_SQL + "SELECT id, name, yes, no, judged, quote, filings, signal FROM labelled")
 def sponsor_rollup(t: Tables) -> DataFrame:
-    """What each company's latest judged postings say about sponsorship, with its filings."""
-    latest = first_per_key(t.analyses.where("sponsorship IS NOT NULL"), ["job_id"], F.desc("created_at"), F.desc("id"), F.asc_nulls_last("quote")).select("job_id", "sponsorship", "quote")
+    """What each company's latest judged postings say about sponsorship, with its filings.
+
+    Ids of analyses may repeat; the SQL leaves open which of two alike comes first, here the last word by name does.
+    """
+    latest = first_per_key(t.analyses.where("sponsorship IS NOT NULL"), ["job_id"], F.desc("created_at"), F.desc("id"), F.asc_nulls_last("quote"), F.desc("sponsorship")).select("job_id", "sponsorship", "quote")
     jobs = t.jobs.select("id", "company_id", "last_seen_at").join(latest, F.col("id") == F.col("job_id"), "left")
     says = lambda v: F.count(F.when(F.col("sponsorship") == v, 1))
     quoted = F.when(F.col("quote").isNotNull(), F.struct("last_seen_at", "id", "quote"))

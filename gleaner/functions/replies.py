@@ -36,7 +36,8 @@ def fenced(text):
 
 def squashed(text):
     """Lower case, white space as single blanks, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[\x09-\x0D\x20\x{85}\x{A0}]+", " "))
+    space = r"[\x09-\x0D\x20\x{85}\x{A0}]"  # single blanks stay as they are, so most places are no match
+    return F.trim(F.regexp_replace(F.lower(text), rf"(?:[\x09-\x0D\x{{85}}\x{{A0}}]|\x20(?={space})){space}*", " "))
 
 
 def _known(value, names):

@@ -98,7 +98,7 @@ def posting_terms(postings: DataFrame, doc: str, title: Column | None, body: Col
 
 
 #: Terms of a group that are looked up together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 
 
 def _products(user: str, doc: str, schema: pa.Schema):
@@ -111,19 +111,25 @@ def _products(user: str, doc: str, schema: pa.Schema):
         order = np.argsort(weights["id"].to_numpy())
         known, idf, pw = (np.append(weights[c].to_numpy()[order], 0) for c in ("id", "idf", "pw"))
         known[-1] = np.iinfo(np.int64).max
-        lists = postings["ids"].combine_chunks()
-        flat, counts, ends = lists.flatten().to_numpy(), postings["counts"].combine_chunks().flatten().to_numpy(), lists.offsets.to_numpy()
-        row = np.repeat(np.arange(len(postings), dtype=np.int32), np.diff(ends))
-        dot, square = np.zeros(len(postings)), np.zeros(len(postings))
-        if len(postings):
-            shard, shards, single = (postings[c][0].as_py() for c in ("shard", "shards", "single"))
+        dots, squares = [], []
+        for batch in postings.to_batches():  # as they came: a group is never copied whole
+            if not len(batch):
+                continue
+            lists, counted = batch["ids"], batch["counts"].flatten().to_numpy()
+            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            dot, square = np.zeros(len(batch)), np.zeros(len(batch))
+            shard, shards, single = (batch[c][0].as_py() for c in ("shard", "shards", "single"))
+            row = np.repeat(np.arange(len(batch), dtype=np.int32), np.diff(ends))
             for i in range(0, len(flat), TOGETHER):
-                ids, tf, rows = flat[i : i + TOGETHER], 1 + np.log(counts[i : i + TOGETHER]), row[i : i + TOGETHER]
+                ids, tf, rows = flat[i : i + TOGETHER], 1 + np.log(counted[i : i + TOGETHER]), row[i : i + TOGETHER]
                 at = np.searchsorted(known, ids)
                 found = (known[at] == ids) & (at < len(known) - 1)
                 w = np.where(np.mod(ids, shards) == shard, tf * np.where(found, idf[at], single), 0.0)
-                dot += np.bincount(rows, np.where(found, w * pw[at], 0.0), len(postings))
-                square += np.bincount(rows, w * w, len(postings))
+                dot += np.bincount(rows, np.where(found, w * pw[at], 0.0), len(batch))
+                square += np.bincount(rows, w * w, len(batch))
+            dots.append(dot)
+            squares.append(square)
+        dot, square = (np.concatenate([np.zeros(0), *x]) for x in (dots, squares))
         return pa.table([postings[user], postings[doc], pa.array(dot), pa.array(square)], schema=schema)
 
     return sums

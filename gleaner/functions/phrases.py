@@ -54,20 +54,43 @@ def _usual(plain):
     return F.when(plain.isin(*SYNONYMS), F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])[plain]).otherwise(plain)
 
 
+def _deeper(part):
+    """Brackets opened in a text less those closed in it."""
+    return F.length(F.replace(part, F.lit(")"), F.lit(""))) - F.length(F.replace(part, F.lit("("), F.lit("")))
+
+
+def _bracketed(text):
+    return F.contains(text, F.lit("(")) | F.contains(text, F.lit(")"))
+
+
+def count_items(text):
+    """How many parts ``split_items`` gives: a fold that holds two numbers, as one that holds the parts copies them at each step."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"))
+
+    def step(so_far, part):
+        return once(so_far["depth"] + _deeper(part), lambda depth: F.struct(depth.alias("depth"), (so_far["n"] + (depth == 0).cast("int")).alias("n")))
+
+    parts = F.split(text, ",", -1)
+    return F.when(_bracketed(text), F.aggregate(parts, start, step, lambda x: x["n"] + (x["depth"] != 0).cast("int"))).otherwise(F.size(parts))
+
+
 def split_items(text):
     """The parts of a text between commas outside round brackets, trimmed.
 
-    A comma counts if the brackets opened and closed before it are as many; the fold runs over the parts between commas.
+    A comma counts if the brackets opened and closed before it are as many; the fold runs over the parts between commas
+    where there are brackets.
     """
     start = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("string").alias("open"), _empty().alias("out"))
 
     def step(so_far, part):
-        depth = so_far["depth"] + F.length(F.regexp_replace(part, r"[^(]", "")) - F.length(F.regexp_replace(part, r"[^)]", ""))
+        depth = so_far["depth"] + _deeper(part)
         joined = F.when(so_far["open"].isNull(), part).otherwise(F.concat(so_far["open"], F.lit(","), part))
         out = F.when(depth == 0, F.array_append(so_far["out"], trimmed(joined))).otherwise(so_far["out"])
         return F.struct(depth.alias("depth"), F.when(depth != 0, joined).alias("open"), out.alias("out"))
 
-    return F.aggregate(F.split(text, ",", -1), start, step, lambda x: F.when(x["open"].isNull(), x["out"]).otherwise(F.array_append(x["out"], trimmed(x["open"]))))
+    parts = F.split(text, ",", -1)
+    folded = F.aggregate(parts, start, step, lambda x: F.when(x["open"].isNull(), x["out"]).otherwise(F.array_append(x["out"], trimmed(x["open"]))))
+    return F.when(_bracketed(text), folded).otherwise(F.transform(parts, trimmed))
 
 
 def keyword_forms(keyword):

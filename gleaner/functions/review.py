@@ -1,7 +1,9 @@
 """Review of nested resumes: findings with the place they point at, a score, and the resume as plain text.
 
 Everything is one walk over a row's sections, entries and bullets with higher-order functions; nothing is exploded or
-shuffled. What compares bullets with each other (numbers, periods, verbs) works on the flat array of a resume's bullets.
+shuffled. What compares bullets with each other (numbers, periods, verbs) works on the flat array of what a resume's
+bullets say. ``transform`` copies what it makes, whole sections with all their texts if they are part of it; filters and
+``exists`` copy nothing, so only findings and short values come out of a transform.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleaner.functions.phrases import split_items
+from gleaner.functions.phrases import count_items
 
 BULLET = "struct<id: string, text: string, hidden: boolean>"
 ENTRY = f"struct<id: string, heading: string, subheading: string, dates: string, location: string, tech: string, text: string, bullets: array<{BULLET}>, hidden: boolean>"
@@ -44,10 +46,24 @@ def _said(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def _seen(item: Column) -> Column:
+    return ~F.coalesce(item["hidden"], F.lit(False))
+
+
 def _shown(items: Column) -> Column:
-    """The items of an array that are not hidden, as structs of the item and its place."""
-    placed = F.transform(items, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    return F.filter(placed, lambda p: ~F.coalesce(p["x"]["hidden"], F.lit(False)))
+    """The items of an array that are not hidden."""
+    return F.filter(items, _seen)
+
+
+def _each(items: Column, kind: str, build) -> Column:
+    """The arrays of type ``kind`` that ``build`` makes of each item that is not hidden and of its place, as one; empty for null."""
+    none = F.array().cast(kind)
+    return F.flatten(F.coalesce(F.transform(items, lambda x, i: F.when(_seen(x), build(x, i)).otherwise(none)), F.array().cast(f"array<{kind}>")))
+
+
+def _any(items: Column, holds) -> Column:
+    """Whether one of the items that are not hidden holds; not for null."""
+    return F.coalesce(F.exists(items, lambda x: _seen(x) & holds(x)), F.lit(False))
 
 
 def _quoted(c: Column) -> Column:
@@ -89,7 +105,7 @@ def _bullet_checks(section: Column, title: Column, bullet: Column, place: list)
     def checks(both):
         text, low, size = both["text"], both["low"], F.octet_length(both["text"])
         weak = F.when(low.rlike("^(?:" + "|".join(WEAK_OPENERS) + ")"), _first_of(WEAK_OPENERS, lambda w: F.startswith(low, F.lit(w))))
-        cliche = F.when(low.rlike("|".join(CLICHES)), _first_of(CLICHES, lambda w: F.contains(low, F.lit(w))))
+        cliche = _first_of(CLICHES, lambda w: F.contains(low, F.lit(w)))  # a pattern of all tries each of them at each place
         pronoun = F.regexp_extract(text, PRONOUN, 1)
         short = (size <= LONGEST) & (size < SHORTEST) & (section["kind"] == "entries") & ~F.contains(title, F.lit("education"))
         return _kept(
@@ -101,13 +117,13 @@ def _bullet_checks(section: Column, title: Column, bullet: Column, place: list)
         )
 
     plain = F.replace(_said(bullet["text"]), F.lit("**"), F.lit(""))
-    return _once(F.struct(plain.alias("text"), F.lower(plain).alias("low")), checks)
+    return F.flatten(F.transform(F.array(F.struct(plain.alias("text"), F.lower(plain).alias("low"))), checks))  # the item of an array would ask for its type at each call
 
 
 def _entry_checks(section: Column, title: Column, entry: Column, place: list) -> Column:
     shown = _shown(entry["bullets"])
     undated = _found(F.coalesce((section["kind"] == "entries") & (_said(entry["dates"]) == ""), F.lit(False)), [*place, -1, 0], "no-dates", "improve", entry["id"], "Add dates to ", _named(entry["heading"]), ".")
-    bullets = F.flatten(F.coalesce(F.transform(shown, lambda b: _bullet_checks(section, title, b["x"], [*place, b["i"]])), F.array().cast(f"array<{CHECKS}>")))
+    bullets = _each(entry["bullets"], CHECKS, lambda b, i: _bullet_checks(section, title, b, [*place, i]))
     many = _found(F.size(shown) > BULLETS, [*place, 2**30, 0], "many-bullets", "tip", entry["id"], _named(entry["heading"]), " has ", F.size(shown), " bullets; three to five strong ones read better.")
     return F.concat(_kept(undated), bullets, _kept(many))
 
@@ -120,24 +136,21 @@ def _section_checks(section: Column, place: list) -> Column:
         _found(odd, [*place, -2, 0, 0], "odd-title", "tip", section["id"], _quoted(_said(section["title"])), " is not a standard section name; applicant tracking systems may not file it correctly."),
         _found(long, [*place, -2, 0, 1], "long-summary", "improve", section["id"], "Keep the summary to two or three lines; recruiters skim it in seconds."),
     )
-    lines = F.transform(section["skills"], lambda g, i: _once(F.size(split_items(_said(g["items"]))), lambda n: _found(n > ITEMS, [*place, -1, i, 0], "long-skills", "tip", section["id"], _quoted(_said(g["name"])), " lists ", n, " items. Keep the ones this kind of job asks for.")))
-    entries = F.transform(_shown(section["entries"]), lambda e: _entry_checks(section, title, e["x"], [*place, e["i"]]))
-    none = F.array().cast(CHECKS)
-    return F.concat(own, F.filter(F.coalesce(lines, none), lambda f: f.isNotNull()), F.flatten(F.coalesce(entries, F.array().cast(f"array<{CHECKS}>"))))
+    lines = F.transform(section["skills"], lambda g, i: _once(count_items(_said(g["items"])), lambda n: _found(n > ITEMS, [*place, -1, i, 0], "long-skills", "tip", section["id"], _quoted(_said(g["name"])), " lists ", n, " items. Keep the ones this kind of job asks for.")))
+    entries = _each(section["entries"], CHECKS, lambda e, i: _entry_checks(section, title, e, [*place, i]))
+    return F.concat(own, F.filter(F.coalesce(lines, F.array().cast(CHECKS)), lambda f: f.isNotNull()), entries)
 
 
-def shown_sections(resume: Column) -> Column:
-    return F.coalesce(_shown(resume["sections"]), F.array().cast(f"array<struct<x: {SECTION}, i: int>>"))
-
+def shown_bullets(resume: Column) -> Column:
+    """(id, w, figure, stop) of the bullets that are seen, in order: first word, whether a figure is in it and a period at its end."""
 
-def shown_entries(resume: Column) -> Column:
-    return F.flatten(F.transform(shown_sections(resume), lambda s: F.coalesce(F.transform(_shown(s["x"]["entries"]), lambda e: e["x"]), F.array().cast(f"array<{ENTRY}>"))))
+    def said(b):
+        text = F.replace(_said(b["text"]), F.lit("**"), F.lit(""))
+        return _once(text, lambda x: F.struct(_said(b["id"]).alias("id"), first_word(x).alias("w"), x.rlike("[0-9]").alias("figure"), x.endswith(".").alias("stop")))
 
-
-def shown_bullets(resume: Column) -> Column:
-    """(id, text) of the bullets that are seen, in order, without bold marks."""
-    bullets = lambda e: F.transform(_shown(e["bullets"]), lambda b: F.struct(_said(b["x"]["id"]).alias("id"), F.replace(_said(b["x"]["text"]), F.lit("**"), F.lit("")).alias("text")))
-    return F.flatten(F.transform(shown_entries(resume), lambda e: F.coalesce(bullets(e), F.array().cast("array<struct<id: string, text: string>>"))))
+    kind = "array<struct<id: string, w: string, figure: boolean, stop: boolean>>"
+    bullets = lambda e: F.coalesce(F.transform(_shown(e["bullets"]), said), F.array().cast(kind))
+    return _each(resume["sections"], kind, lambda s, _: _each(s["entries"], kind, lambda e, _: bullets(e)))
 
 
 def _whole_checks(resume: Column, bullets: Column, pages: Column) -> tuple[Column, Column]:
@@ -150,13 +163,13 @@ def _whole_checks(resume: Column, bullets: Column, pages: Column) -> tuple[Colum
         _found(~profile, [0, 2], "no-profile-link", "tip", none, "Add a LinkedIn or GitHub link; reviewers often check them."),
         _found(F.coalesce(pages > 1, F.lit(False)), [0, 3], "too-long", "fix", none, "The resume runs to ", F.coalesce(pages, F.lit(0)), " pages. Use Fit to one page, or hide older bullets."),
     )
-    number = lambda holds: F.size(F.filter(bullets, lambda b: holds(b["text"])))
-    total, figures, stops = F.size(bullets), number(lambda x: x.rlike("[0-9]")), number(lambda x: x.endswith("."))
-    experienced = F.exists(shown_sections(resume), lambda s: F.lower(_said(s["x"]["title"])).rlike("experience|employment"))
-    dates = F.transform(shown_entries(resume), lambda e: _said(e["dates"]))
-    written = lambda style: F.exists(dates, lambda d: d.rlike(style)).cast("int")
+    number = lambda field: F.size(F.filter(bullets, lambda b: b[field]))
+    total, figures, stops = F.size(bullets), number("figure"), number("stop")
+    experienced = _any(resume["sections"], lambda s: F.lower(_said(s["title"])).rlike("experience|employment"))
+    written = lambda style: _any(resume["sections"], lambda s: _any(s["entries"], lambda e: _said(e["dates"]).rlike(style))).cast("int")
     styles = reduce(lambda a, b: a + b, map(written, DATE_STYLES.values()))
-    words = F.filter(F.transform(bullets, lambda b: F.struct(first_word(b["text"]).alias("w"), b["id"].alias("id"))), lambda x: F.length(x["w"]) > 0)
+    words = F.filter(bullets, lambda x: F.length(x["w"]) > 0)
+
     def repeated(words):
         ordered = F.array_sort(F.transform(words, lambda x: x["w"]))
         verbs = _once(ordered, lambda o: F.array_distinct(F.filter(o, lambda w, i: w.eqNullSafe(F.get(o, i + 2)))))  # those that stand three times
@@ -179,7 +192,7 @@ def review(resume: Column, pages: Column) -> Column:
     section, entry, bullet, n] inside it and [2, n] for the whole. The target is the id of the bullet, entry or section to
     mend. Hidden parts are not looked at; null texts are empty. The score is 100 less what the findings cost, 0 at least.
     """
-    sections = F.flatten(F.transform(shown_sections(resume), lambda s: _section_checks(s["x"], [1, s["i"]])))
+    sections = _each(resume["sections"], CHECKS, lambda s, i: _section_checks(s, [1, i]))
 
     def judged(bullets):
         header, end = _whole_checks(resume, bullets, pages)
@@ -200,14 +213,14 @@ def plain_text(resume: Column) -> Column:
         return F.coalesce(F.array_join(F.transform(items, write), ""), F.lit(""))
 
     def entry(e: Column) -> Column:
-        bullets = joined(_shown(e["bullets"]), lambda b: F.concat(F.lit("- "), _said(b["x"]["text"]), F.lit("\n")))
+        bullets = joined(_shown(e["bullets"]), lambda b: F.concat(F.lit("- "), _said(b["text"]), F.lit("\n")))
         return F.concat(line(e["heading"], e["subheading"], e["tech"], e["dates"], e["location"]), line(e["text"]), bullets)
 
     def section(s: Column) -> Column:
         skills = joined(s["skills"], lambda g: line(F.concat(_said(g["name"]), F.lit(": "), _said(g["items"]))))
-        return F.concat(F.lit("\n"), F.upper(_said(s["title"])), F.lit("\n"), line(s["text"]), skills, joined(_shown(s["entries"]), lambda e: entry(e["x"])))
+        return F.concat(F.lit("\n"), F.upper(_said(s["title"])), F.lit("\n"), line(s["text"]), skills, joined(_shown(s["entries"]), entry))
 
     labels = F.coalesce(F.transform(resume["links"], lambda x: _said(x["label"])), F.array().cast("array<string>"))
     contacts = F.filter(F.concat(F.array(_said(resume["phone"]), _said(resume["email"]), _said(resume["location"])), labels), lambda p: p != "")
     head = F.concat(line(resume["name"]), line(resume["headline"]), F.when(F.size(contacts) > 0, F.concat(F.array_join(contacts, " | "), F.lit("\n"))).otherwise(""))
-    return F.regexp_replace(F.concat(head, joined(shown_sections(resume), lambda s: section(s["x"]))), r"\A\s+|\s+\z", "")
+    return F.btrim(F.concat(head, joined(_shown(resume["sections"]), section)), F.lit(" \t\n\x0b\f\r"))

@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from gleaner.functions.numbers import LEVELS, coverage, scaled, whole_ranks
 from gleaner.functions.resumes import facts_text, profile_sections
-from gleaner.functions.text import PHRASES, STOP_WORDS, tokens, trimmed
+from gleaner.functions.text import PHRASES, STOP_WORDS, once, tokens, trimmed
 from gleaner.operators.joins import materialized, met
 from gleaner.operators.relevance import TITLE_WEIGHT, blend, blocked, skill_match, skill_overlap, with_learned
 
@@ -190,12 +190,15 @@ def signals(known: DataFrame, words: DataFrame, similar: DataFrame | None, user:
     """
     listed = F.filter(F.transform(F.coalesce("skills", F.array().cast("array<string>")), trimmed), lambda s: s.isNotNull())
     rows = known.select("*", F.transform(listed, lambda s: F.struct(s.alias("name"), tokens(s).alias("tokens"))).alias("_skills"))
-    rows = rows.withColumn("_match", skill_match(F.transform("_skills", lambda s: F.struct(s["name"].alias("name"), specific(s["tokens"]).alias("tokens"))), F.col("_whole")))
+    # a profile is far longer than the skills: what they share with it is found once, and each skill is held against that
+    shared = lambda skills, profile, build: once(F.array_intersect(F.flatten(F.transform(skills, lambda s: s["tokens"])), profile), build)
+    named = F.transform("_skills", lambda s: F.struct(s["name"].alias("name"), specific(s["tokens"]).alias("tokens")))
+    rows = rows.withColumn("_match", shared(named, F.col("_whole"), lambda x: skill_match(named, x)))
     near, most, years = F.greatest(F.lit(0), F.col("years") - F.col("max_years") + 3), F.coalesce("max_years", F.lit(0)), F.col("years")
     rows = rows.select(
         user,
         doc,
-        skill_overlap(F.transform("_skills", lambda s: s["tokens"]), F.col("_profile")).alias("skills"),
+        shared(F.col("_skills"), F.col("_profile"), lambda x: skill_overlap(F.transform("_skills", lambda s: s["tokens"]), x)).alias("skills"),
         coverage(F.col("_match.matched"), F.col("_match.missing")).alias("coverage"),
         F.when((most > 0) & years.isNotNull(), near).otherwise(0).alias("near"),
         level_distance(F.col("seniority"), F.col("levels")).alias("gap"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.catalog import QUERIES
 from gleaner.functions import phrases, review
+from gleaner.operators import ranking
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -63,3 +64,14 @@ def test_a_review_copies_no_sections(spark):
     frame = spark.createDataFrame([], f"resume {review.RESUME}, pages int")
     plan = frame.select(review.review(F.col("resume"), F.col("pages")), review.plain_text(F.col("resume")))._jdf.queryExecution().analyzed().toString()
     assert "struct(x, " not in plan and "split(" in plan and "array_append" not in plan
+
+
+def test_skills_meet_a_profile_once_for_each_pair(spark):
+    """What the skills of a posting share with a profile is found once, not anew for each skill."""
+    texts, flag = "array<string>", "boolean"
+    fields = {"user_id": "long", "job_id": "long", "seniority": "string", "skills": texts, "digest": "string", "years": "int", "work_mode": "string", "markdown": "string", "max_years": "int", "levels": texts, "needs_sponsorship": flag, "_profile": texts, "_whole": texts}
+    known = spark.createDataFrame([(1, 2, "mid", ["Go", "Big data"], "", 1, "remote", "", 0, ["mid"], False, ["go", "big"], ["big"])], ", ".join(f"{k} {v}" for k, v in fields.items()))
+    words = spark.createDataFrame([(1, 2, 0.5)], "user_id long, job_id long, similarity double")
+    found = ranking.signals(known, words, None, "user_id", "job_id")
+    assert found._jdf.queryExecution().analyzed().toString().count("array_intersect(flatten(") == 2
+    assert found.first().skills == 0.5
